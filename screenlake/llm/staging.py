@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 _OWN: list[str] = []
 
 
@@ -57,4 +59,5 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
     """Only the named columns of a table, so that extra columns, whatever their names, never reach an operator."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*[f"`{c}`" for c in columns])
