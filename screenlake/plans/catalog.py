@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from . import integrity_queries, score_queries, text_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "sessions_correlation_rules"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
