@@ -1,0 +1,272 @@
+"""Each operator on small awkward tables, against brute force."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from screenlake.llm import embedding_dedup, exact_dedup, language_id, ngram_join, packing, pieces, repeats, token_files, tokens, url_filter, warc
+
+RNG = random.Random(11)
+WORDS = ["".join(RNG.choices("abcdefgh", k=RNG.randint(2, 7))) for _ in range(60)]
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def prose(n):
+    return " ".join(RNG.choices(WORDS, k=n))
+
+
+BASE, PASSAGE = prose(120), prose(40)
+TEXTS = [
+    None, "", "  \t ", "one", "one two", BASE, BASE, BASE.replace(" ", "\n", 3), BASE.replace(" ", "  "), BASE + " tail", BASE.upper(),
+    PASSAGE + " " + prose(50), prose(30) + " " + PASSAGE + " " + prose(30), "x" * 400, "y" * 150 + "é" * 90, prose(3000), BASE + " " + BASE,
+    *(" ".join(w if RNG.random() > 0.01 else "zz" for w in BASE.split(" ")) for _ in range(8)),
+]
+ROWS = [(i * 3 + 1, t, i, "other") for i, t in enumerate(TEXTS)]
+SCHEMA = "doc_id long, text string, n long, version string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def test_exact_dedup(docs, empty, spark):
+    got = rows(exact_dedup.exact_dedup(docs))
+    norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t, *_ in ROWS}
+    for i, t in norm.items():
+        same = [j for j, u in norm.items() if u == t]
+        assert (got[i].keep_id, got[i].group_size, got[i].kept) == (min(same), len(same), i == min(same))
+        assert got[i].text_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    assert exact_dedup.exact_dedup(empty).count() == 0
+    hot = spark.createDataFrame([(i, "same" if i % 3 == 0 else f"t{i // 2}") for i in range(600)], "doc_id long, text string")
+    got = exact_dedup.exact_dedup(hot, max_hot=4).collect()
+    assert len(got) == 600 and all(r.keep_id == 0 and r.group_size == 200 for r in got if r.doc_id % 3 == 0)
+    odd = exact_dedup.exact_dedup(spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, "q")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.kept, r.group_size) for r in odd) == [(False, True, 3), (False, True, 3), (True, False, 3), (True, True, 1)]
+
+
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"), ("block", "a.example.org", "/")]
+
+
+def judge(url):
+    if url is None or "://" not in url:
+        host = path = ""
+    else:
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest)[0].translate(LOWER)
+        path = re.split("[?#]", rest[len(host) :])[0]
+    fits = [(len(h + p), len(h), v == "block", h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=(0, 0, 0, None, "allow"))
+    return host, path, best[3], best[4]
+
+
+def test_url_filter(spark):
+    hosts = ["example.org", "EXAMPLE.org", "a.example.org", "b.a.example.org", "xexample.org", "org", "com", "x.com", "example.org.", "", "org.example", "exa mple.org", "café.org", "example.org-x"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/es/", "/es", "/en/12?q=/de/", "/fr/x#y", "/de/", "?a=/es/", "#f")] + [None, "no scheme", "x://", "http://a://b.org/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = rows(url_filter.url_filter(df, url_filter.rules_from(spark, RULES)), "page_id")
+    for i, u in enumerate(urls):
+        assert tuple(got[i][1:]) == judge(u), u
+    assert url_filter.url_filter(df.limit(0), url_filter.rules_from(spark, RULES)).count() == 0
+    none = url_filter.url_filter(df, spark.createDataFrame([], "host string, path string, verdict string")).collect()
+    assert {r.verdict for r in none} == {"allow"} and {r.rule for r in none} == {None}
+
+
+def removed(texts, length):
+    seen, out = set(), {}
+    for i, t in sorted(texts.items()):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - length + 1):
+            w = b[p : p + length]
+            if w in seen:
+                gone[p : p + length] = True
+            seen.add(w)
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out[i] = (len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_repeats(docs, empty, spark):
+    got = rows(repeats.remove_repeats(docs, 100))
+    want = removed({i: t for i, t, *_ in ROWS}, 100)
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == want
+    assert sum(x[1] for x in want.values()) > 1000
+    assert repeats.remove_repeats(empty, 100).count() == 0
+    twice = spark.createDataFrame([(5, BASE), (5, BASE), (None, "short")], "doc_id long, text string")
+    assert [r.n_removed for r in repeats.remove_repeats(twice, 100).collect()] == [0, 0, 0]
+    kept = rows(repeats.without_repeats(docs, 100))
+    assert len(kept) == len(ROWS) and kept[1].text is None and kept[ROWS[5][0]].text == BASE and kept[ROWS[6][0]].text == ""
+    assert kept[ROWS[5][0]].version == "other"
+
+
+def test_many_shared_passages(spark):
+    texts = {i: f"{prose(12)} {PASSAGE} {prose(12)}" if i % 2 else prose(30) for i in range(120)}
+    got = rows(repeats.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5), 100))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == removed(texts, 100)
+
+
+def links_of(texts, k, percent):
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            if i < j and sets[i] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both) and both:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: (len(sets[i]), find(i)) for i in texts}
+
+
+@pytest.mark.parametrize("k, percent", [(4, 85), (5, 80)])
+def test_ngram_join(docs, empty, spark, k, percent):
+    got = rows(ngram_join.ngram_join(docs, k, percent))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == links_of({i: t for i, t, *_ in ROWS}, k, percent)
+    assert ngram_join.ngram_join(empty, k, percent).count() == 0
+
+
+def test_ngram_join_with_large_tiles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 8)
+    monkeypatch.setattr(ngram_join, "HEAVY_LEAST", 2)
+    texts = {i: " ".join(w if RNG.random() > 0.03 else RNG.choice(WORDS) for w in BASE.split(" ")) for i in range(60)}
+    got = rows(ngram_join.ngram_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), 4, 85))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == links_of(texts, 4, 85)
+
+
+def test_embedding_dedup(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 16))
+    near = x[:40] + 0.12 * rng.standard_normal((40, 16))
+    group = x[0] + 0.05 * rng.standard_normal((60, 16))
+    vectors = [v.astype(np.float32).tolist() for v in np.concatenate([x, near, group])]
+    data = list(enumerate(vectors)) + [(900, None), (901, []), (902, [0.0] * 16), (903, [float("nan")] * 16), (904, [1.0, None] * 8), (905, [1.0, 2.0]), (906, vectors[3]), (906, vectors[3])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    got = embedding_dedup.embedding_dedup(df, threshold=0.9).collect()
+    assert len(got) == len(data)
+    fine = {i: np.array(v, float) / np.linalg.norm(np.array(v, float)) for i, v in data if v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)}
+    ids = sorted(fine)
+    s = np.array([[fine[a] @ fine[b] >= 0.9 for b in ids] for a in ids]) & ~np.eye(len(ids), dtype=bool)
+    true, found = int(s.sum()), sum(r.n_links for r in {r.vec_id: r for r in got}.values())
+    assert 0.97 * true <= found <= 1.1 * true  # a repeated id's two rows count with their neighbours
+    at = {r.vec_id: r for r in got}
+    for k, i in enumerate(ids):
+        if i != 906 and not s[k].any():
+            assert at[i].component_id == i and at[i].n_links == 0
+    assert all(at[i].n_links == 0 and at[i].component_id == i and at[i].kept for i in (900, 901, 902, 903, 904, 905))
+    assert at[340].component_id == 0 and not at[340].kept
+    assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
+
+
+def test_language_id(spark):
+    letters = {"aa": "abcdeii", "bb": "mnoprstu", "cc": "éèçvwxz"}
+    text = lambda la, n: " ".join("".join(RNG.choices(letters[la], k=RNG.randint(2, 6))) for _ in range(n))
+    data = [(i, text(la, RNG.randint(20, 80)), la) for i, la in enumerate(list(letters) * 60)]
+    odd = [(1000, None, "aa"), (1001, "", "bb"), (1002, "123 !? 45", None), (1003, text("cc", 5000), None)]
+    df = spark.createDataFrame(data + odd, "doc_id long, text string, lang string")
+    got = rows(language_id.identify(df, df.where("doc_id % 4 <> 2 and doc_id < 1000")))
+    held = [(i, la) for i, _, la in data if i % 4 == 2]
+    assert sum(got[i].lang_pred == la for i, la in held) / len(held) > 0.97
+    assert not any(got[i].rejected for i, _, _ in data)
+    assert [got[i].lang_pred for i in (1000, 1001, 1002, 1003)] == ["und", "und", "und", "cc"]
+    assert all(0 <= r.score <= 1 for r in got.values()) and got[1001].rejected
+    none = language_id.identify(df, df.where("false")).collect()
+    assert {r.lang_pred for r in none} == {"und"}
+    assert language_id.identify(df.limit(0), df).count() == 0
+
+
+def test_packing(docs, empty):
+    from tokenizers import Tokenizer
+
+    plain, window = Tokenizer.from_file(tokens.tokenizer_path()), 64
+    ids = {i: np.array(plain.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for i, t, *_ in ROWS}
+    pieces_ = packing.pack_documents(docs, tokens.tokenizer_path(), window, 1, with_ids=True)
+    got = sorted(pieces_.collect(), key=lambda r: (r.sequence_id, r.offset))
+    at = 0
+    for r in got:
+        assert r.sequence_id * window + r.offset == at and r.offset + r.length <= window
+        assert r.ids == ids[r.doc_id][r.start : r.start + r.length].tolist() and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+        assert r.doc_tokens == len(ids[r.doc_id])
+        at += r.length
+    assert at == sum(map(len, ids.values()))
+    full = packing.sequences(pieces_, window).collect()
+    assert {len(r.ids) for r in full} == {window} and len(full) == -(-at // window)
+    assert packing.pack_documents(empty, tokens.tokenizer_path()).count() == 0
+
+
+def test_token_output(docs, empty):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.tokenizer_path())
+    got = rows(token_files.token_round_trip(docs, tokens.tokenizer_path(), 2))
+    at = 0
+    for i, t, *_ in sorted(ROWS, key=lambda r: r[0]):
+        ids = np.array(plain.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert token_files.token_round_trip(empty, tokens.tokenizer_path(), 2).count() == 0
+
+
+def test_warc(spark):
+    html = [None, "", "<p>a</p>", "<p>a</p>", "é" * 50_000, "<p>a</p>", "b", ""]
+    df = spark.createDataFrame([(i, f"http://h/{i}\r\n x", h) for i, h in enumerate(html)] + [(None, None, "b")], "page_id long, url string, html string")
+    got = warc.warc_round_trip(df).collect()
+    by = {r.page_id: r for r in got}
+    assert len(got) == 9 and {i: r.record_type for i, r in by.items()} == {0: "revisit", 1: "revisit", 2: "revisit", 3: "revisit", 4: "response", 5: "response", 6: "response", 7: "response", None: "revisit"}
+    assert (by[0].refers_to, by[1].refers_to, by[2].refers_to, by[5].refers_to, by[None].refers_to) == (7, 7, 5, None, 6)
+    for i, h in enumerate(html):
+        data = (h or "").encode()
+        assert (by[i].payload_bytes, by[i].payload_digest) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
+    assert {r.record_type for r in warc.warc_round_trip(df, least_bytes=10**6).collect()} == {"response"}
+    assert warc.warc_round_trip(df.limit(0)).count() == 0
+
+
+def test_pieces(docs, empty):
+    got = rows(pieces.nbest(docs, tokens.tokenizer_path("piece_bpe_32k.model"), 3, with_ids=True))
+    assert all(r.round_trip for r in got.values()) and got[1].n_pieces == 0 and got[1].n_found == 1
+    for r in got.values():
+        assert r.nbest_scores == sorted(r.nbest_scores, reverse=True) and r.nbest_scores[0] == r.best_score
+        assert len({tuple(x) for x in r.nbest_ids}) == r.n_found and len(r.nbest_ids[0]) == r.n_pieces
+        assert r.ids_crc32 == zlib.crc32(np.array(r.nbest_ids[0], "<u4").tobytes())
+    assert pieces.nbest(empty, tokens.tokenizer_path("piece_bpe_32k.model")).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    text = lambda i: prose(80 + i % 40)
+    data = [(i, text(i), "xx", "s", 1) for i in range(80)]
+    data += [(100, data[3][1], "xx", "s", 1), (101, data[3][1].replace(" ", "\t"), "xx", "s", 1), (102, data[5][1] + " more", "xx", "s", 1), (103, None, None, None, None), (104, "123", "xx", "s", 3), (105, PASSAGE + " " + prose(40), "xx", "s", 1), (106, prose(40) + " " + PASSAGE, "xx", "s", 1)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    pieces_ = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r.doc_id for r in pieces_}
+    assert kept == {i for i in range(80)} | {105, 106}
+    assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
