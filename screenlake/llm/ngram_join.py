@@ -3,19 +3,18 @@
 A document's set holds the hashes of its distinct word shingles. Equal sets are one class and only their smallest document
 goes on. Two sets of Jaccard similarity t or more share one of their first n - ceil(t n) + 1 members under any order of all
 shingles; here the most frequent shingles (a list of fixed size) come last, so that passages which many documents share
-open no tile unless a document is little else. A tile is a shared prefix member and a band of set sizes.
-
-Round one checks neighbours by size within a tile: a number of pairs in proportion to the rows. The classes they link are
-found, and round two checks, tile by tile and band by band, every pair from different classes that is left; pairs within a
-class would change nothing, so a large group of near copies makes no square of pairs. Every pair checked is first bounded
-by its signatures: the parity of hashed members in a bitmap as long as the set; n1 + n2 less the differing bits, halved, is
-no less than the overlap. What is left meets the exact intersection.
+open no tile unless a document is little else. A tile holds the documents of one shared prefix member in order of set size.
+
+Inside a tile, pairs in a band of sizes are compared by signatures: the parity of hashed members in a bitmap as long as
+the set; n1 + n2 less the differing bits, halved, is no less than the overlap. Only pairs that pass leave the tile, to meet
+the exact intersection. In round one each document leaves with its best partner alone, so pairs are in proportion to the
+rows; the classes these links make are found, and in round two every pair between different classes that passes leaves.
+A pair within a class would change nothing, so a large group of near copies makes no square of pairs. Tiles over a fixed
+size are cut into blocks, and each two blocks are compared by a task's work of their own.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,11 +22,13 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import mix, shingle_sets
-from .staging import drop_staged, stage
+from .staging import drop_staged, shuffle_partitions, stage
 from .tokens import text_slices
 
 #: At most so many frequent shingles are put last, and a partition names at most so many.
 HEAVY, HEAVY_OF_PARTITION, HEAVY_LEAST = 32_768, 8_192, 8
+#: Rows of a tile that one task compares at once.
+TILE = 4_096
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -112,17 +113,18 @@ def _prefixes(df: DataFrame, words: int, percent: int, heavy: np.ndarray) -> Dat
     def run(batches):
         for batch in batches:
             for at, texts in text_slices(batch, 1):
-                n, k1, k2, prefix = [], [], [], []
+                n, k1, k2, prefix, bits = [], [], [], [], []
                 for s in shingle_sets(texts, words):
                     last = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s if len(heavy) else np.zeros(len(s), bool)
                     a, b = _keys(s)
                     n.append(len(s))
                     k1.append(a)
                     k2.append(b)
+                    bits.append(bitmap(s))
                     prefix.append(np.concatenate([s[~last], s[last]])[: prefix_length(len(s), percent) if len(s) else 0].view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["id", "n", "k1", "k2", "prefix", "bits"])
 
-    return df.mapInArrow(run, "id long, n long, k1 long, k2 long, prefix array<long>")
+    return df.mapInArrow(run, "id long, n long, k1 long, k2 long, prefix array<long>, bits binary")
 
 
 def _sets(df: DataFrame, words: int) -> DataFrame:
@@ -130,31 +132,129 @@ def _sets(df: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for at, texts in text_slices(batch, 1):
                 sets = shingle_sets(texts, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "bits", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "members"])
+
+    return df.mapInArrow(run, "id long, n long, members binary")
+
+
+def _fold(x: int, width: int, to: int) -> int:
+    while width > to:
+        width //= 2
+        x = (x >> width) ^ (x & ((1 << width) - 1))
+    return x
+
+
+def _few(nodes, sizes, classes, sides, bits, percent: int):
+    """Passing pairs (i, j, bound) of a small tile, i before j by size."""
+    ints = [(int.from_bytes(b, "big"), 8 * len(b)) for b in bits]
+    for i, n in enumerate(sizes):
+        x, w = ints[i]
+        for j in range(i + 1, len(sizes)):
+            m = sizes[j]
+            if 100 * n < percent * m:
+                break
+            if nodes[i] == nodes[j] or classes[i] == classes[j] or sides[i] == sides[j] != 0:
+                continue
+            y, v = ints[j]
+            to = min(w, v)
+            bound = (n + m - (_fold(x, w, to) ^ _fold(y, v, to)).bit_count()) // 2
+            if bound >= least_overlap(n, m, percent):
+                yield i, j, bound
+
+
+def _many(nodes, sizes, classes, sides, bits, percent: int):
+    """As _few, for large tiles, in numpy."""
+    nodes, n, classes, sides = (np.array(x, np.int64) for x in (nodes, sizes, classes, sides))
+    widths = np.array([8 * len(b) for b in bits])
+    for to in np.unique(widths):
+        rows = np.flatnonzero((widths == to) | (widths == 2 * to))
+        maps = np.zeros((len(rows), to // 8), np.uint8)
+        for k, r in enumerate(rows):
+            x = np.frombuffer(bits[r], np.uint8)
+            maps[k] = x if len(x) == to // 8 else x[: len(x) // 2] ^ x[len(x) // 2 :]
+        maps = maps.view(np.uint64)
+        step = max(1, 4_000_000 // (len(rows) * maps.shape[1]))
+        for a in range(0, len(rows), step):
+            part = rows[a : a + step]
+            end = a + 1 + int(np.searchsorted(n[rows[a + 1 :]] * percent, 100 * n[part[-1]], "right")) if a + 1 < len(rows) else a + 1
+            cols = rows[a:end]
+            differ = np.bitwise_count(maps[a : a + step, None, :] ^ maps[None, a:end, :]).sum(axis=2, dtype=np.int64)
+            total = n[part][:, None] + n[cols][None, :]
+            bound = (total - differ) // 2
+            fine = (part[:, None] < cols[None, :]) & (100 * n[part][:, None] >= percent * n[cols][None, :]) & (bound >= -(-percent * total // (100 + percent)))
+            fine &= (nodes[part][:, None] != nodes[cols][None, :]) & (classes[part][:, None] != classes[cols][None, :])
+            fine &= (widths[part][:, None] == to) | (widths[cols][None, :] == to)
+            fine &= (sides[part][:, None] == 0) | (sides[part][:, None] != sides[cols][None, :])
+            for i, j in zip(*np.nonzero(fine)):
+                yield int(part[i]), int(cols[j]), int(bound[i, j])
+
+
+def _tile_pairs(tiles: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b) that pass in some tile of (h, node, size, class, bits); best: each node's nearest one in a tile only."""
+    n = shuffle_partitions(tiles.sparkSession)
+    hot = stage(tiles.groupBy("h").count().where(F.col("count") > TILE).select("h", F.ceil(F.col("count") / TILE).cast("int").alias("blocks")), "hot")
+    dealt = tiles.join(hot, "h", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    one, two = F.least("block", "other"), F.greatest("block", "other")
+    side = F.when(one == two, 0).otherwise(F.col("block") + 1)  # in a pair of blocks, only pairs across
+    dealt = dealt.select("h", one.alias("one"), two.alias("two"), "node", "size", "class", side.alias("side"), "bits")
+
+    def pairs_of(rows):
+        nodes, sizes, classes, sides, bits = zip(*rows)
+        if len(set(classes)) < 2:
+            return
+        found = (_few if len(rows) <= 24 else _many)(nodes, sizes, classes, sides, bits, percent)
+        if not best:
+            yield from ((nodes[i], nodes[j]) for i, j, _ in found)
+            return
+        top: dict[int, tuple] = {}
+        for i, j, bound in found:
+            score = bound / (sizes[i] + sizes[j] - bound)
+            for x, y in ((i, j), (j, i)):
+                if x not in top or (-score, nodes[y]) < top[x]:
+                    top[x] = (-score, nodes[y])
+        yield from ((nodes[x], y) for x, (_, y) in top.items())
+
+    def run(batches):
+        key, rows, out = None, [], []
+        for batch in batches:
+            cols = [batch.column(k).to_pylist() for k in range(8)]
+            for h, o, t, *row in zip(*cols):
+                if (h, o, t) != key:
+                    if len(rows) > 1:
+                        out += pairs_of(rows)
+                    key, rows = (h, o, t), []
+                rows.append(row)
+            while len(out) > 10_000:
+                yield _batch(out[:10_000])
+                out = out[10_000:]
+        if len(rows) > 1:
+            out += pairs_of(rows)
+        for a in range(0, len(out), 10_000):
+            yield _batch(out[a : a + 10_000])
+
+    dealt = dealt.repartition(n, "h", "one", "two").sortWithinPartitions("h", "one", "two", "size", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
-    return df.mapInArrow(run, "id long, n long, bits binary, members binary")
 
+def _batch(pairs: list[tuple[int, int]]):
+    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["a", "b"])
 
-def _passing(pairs: DataFrame, percent: int, found) -> DataFrame:
-    """The (a, b) rows of (a, b, n, m, x, y) whose found(n, x, m, y) is enough."""
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose whole sets are similar enough."""
 
     def run(batches):
         for batch in batches:
             r = batch.to_pydict()
-            keep = [found(n, x, m, y) >= least_overlap(n, m, percent) for n, m, x, y in zip(r["n"], r["m"], r["x"], r["y"])]
+            keep = [overlap(x, y) >= least_overlap(n, m, percent) for n, m, x, y in zip(r["n"], r["m"], r["x"], r["y"])]
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
-    return pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
-    """Of pairs (a, b), the linked ones: signatures first, then whole sets."""
+    def side(name: str, n: str, to: str) -> DataFrame:
+        return sets.select(F.col("id").alias(name), F.col("n").alias(n), F.col("members").alias(to))
 
-    def side(name: str, n: str, to: str, what: str) -> DataFrame:
-        return sets.select(F.col("id").alias(name), F.col("n").alias(n), F.col(what).alias(to))
-
-    near = stage(_passing(pairs.join(side("a", "n", "x", "bits"), "a").join(side("b", "m", "y", "bits"), "b"), percent, overlap_bound), tag)
-    return stage(_passing(near.join(side("a", "n", "x", "members"), "a").join(side("b", "m", "y", "members"), "b"), percent, lambda n, x, m, y: overlap(x, y)), tag)
+    both = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    return stage(both.mapInArrow(run, "a long, b long"), "links")
 
 
 def ngram_join(df: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,32 +272,23 @@ def ngram_join(df: DataFrame, words: int = 4, percent: int = 85, id_col: str = "
     heavy = np.sort(np.array([r[0] for r in frequent.select("id").collect()], np.int64).view(np.uint64))  # HEAVY rows at most
 
     prefixes = _prefixes(docs, words, percent, heavy).join(reps.select(F.col("rep").alias("id"), "n", "k1", "k2"), ["id", "n", "k1", "k2"], "left_semi")
-    members = prefixes.select(F.explode("prefix").alias("h"), F.col("id").alias("rep"), F.col("n").alias("size"))
-    by_size = Window.partitionBy("h").orderBy("size", "rep")
-    tiles = members.withColumn("prev", F.lag("rep").over(by_size)).withColumn("prev_size", F.lag("size").over(by_size)).withColumn("next", F.lead("rep").over(by_size))
-    tiles = stage(tiles.where("prev is not null or next is not null").drop("next"), "tiles")
-
-    wanted = tiles.select(F.col("rep").alias("id")).distinct()
+    prefixes = stage(prefixes.select(F.col("id").alias("node"), F.col("n").alias("size"), "prefix", "bits"), "prefixes")
+    by_size = Window.partitionBy("h").orderBy("size", "node")
+    members = prefixes.select(F.explode("prefix").alias("h"), "node", "size")
+    members = members.withColumn("prev", F.lag("size").over(by_size)).withColumn("next", F.lead("size").over(by_size))
+    tiles = stage(members.where((100 * F.col("prev") >= percent * F.col("size")) | (100 * F.col("size") >= percent * F.col("next"))).select("h", "node"), "tiles")
+    tiles = tiles.join(prefixes.select("node", "size", "bits"), "node")
+
+    best = stage(_tile_pairs(tiles.withColumn("class", F.col("node")), percent, True), "pairs")
+    wanted = stage(best.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     sets = stage(_sets(docs.join(wanted, "id", "left_semi"), words), "members")
-
-    neighbours = tiles.where(F.col("prev").isNotNull() & (F.col("prev") != F.col("rep")) & (100 * F.col("prev_size") >= percent * F.col("size")))
-    neighbours = stage(neighbours.select(F.least("prev", "rep").alias("a"), F.greatest("prev", "rep").alias("b")).distinct(), "pairs")
-    links = _verified(neighbours, sets, percent, "links")
-    so_far = stage(components(links), "components")
-
-    width = math.log(100 / percent) * 1.0001
-    tiles = tiles.select("h", F.col("rep").alias("node"), "size").join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    tiles = stage(tiles.withColumn("band", F.floor(F.log("size") / width)), "tiles")
-    small = tiles.select("h", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("node").alias("u"), F.col("size").alias("u_size"), F.col("component").alias("u_component"))
-    large = tiles.select("h", "band", F.col("node").alias("v"), F.col("size").alias("v_size"), F.col("component").alias("v_component"))
-    other = small.join(large, ["h", "band"]).where(
-        (F.col("u_component") != F.col("v_component")) & (100 * F.col("u_size") >= percent * F.col("v_size")) & ((F.col("u_size") < F.col("v_size")) | ((F.col("u_size") == F.col("v_size")) & (F.col("u") < F.col("v"))))
-    )
-    pairs = stage(other.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct().join(neighbours, ["a", "b"], "left_anti"), "pairs")
-    more = _verified(pairs, sets, percent, "links")
+    links = _verified(best, sets, percent)
+    so_far = stage(wanted.withColumnRenamed("id", "node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("class")), "so-far")
+    rest = _tile_pairs(tiles.join(so_far, "node"), percent, False)
+    more = _verified(stage(rest.join(best, ["a", "b"], "left_anti"), "pairs"), sets, percent)
     final = components(links.unionAll(more))
 
     classes = stage(reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component")), "classes")
-    for done in (tiles, sets):
+    for done in (prefixes, sets):
         drop_staged(done)
     return rows.join(classes, ["n", "k1", "k2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
