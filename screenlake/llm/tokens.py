@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -36,33 +35,38 @@ def encoder(path: str) -> "Encoder":
 class Encoder:
     """encode() gives each text's ids as little-endian unsigned 32-bit integers.
 
-    Special tokens' strings are treated as the library does by default. The memory holds at most max_chunks chunks of at
-    most 48 characters and starts anew when full, so its size is fixed.
+    Special tokens' strings are treated as the library does by default. The memory has two generations of at most
+    max_chunks chunks of at most 48 characters: when the young one is full it becomes the old one, and what is met again
+    moves up, so its size is fixed and frequent chunks stay.
     """
 
-    def __init__(self, path: str, max_chunks: int = 600_000):
+    def __init__(self, path: str, max_chunks: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_chunks = Tokenizer.from_file(path), max_chunks
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # its own memory of words only costs, beside this one
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [(t.split(" ") if not _ODD.search(t) else _CUT.split(t)) for t in texts]
-        known = self.known
-        new = {w for parts in cut for w in parts[1:] if w not in known}
+        known, old = self.known, self.old
+        new = set().union(*[parts[1:] for parts in cut]).difference(known)
         if len(known) + len(new) > self.max_chunks:
-            known.clear()
-            new = {w for parts in cut for w in parts[1:]}
-        fresh = list(new)
-        ids = dict(zip(fresh, self._ids([" " + w for w in fresh]))) if fresh else {}
-        first = self._ids([parts[0] for parts in cut])
+            self.old, self.known = old, known = known, {}
+            new = set().union(*[parts[1:] for parts in cut])
+        fresh = [w for w in new if w not in old]
+        known.update((w, old[w]) for w in new if w in old)
+        ids = dict(zip(fresh, self._ids([" " + w for w in fresh])))
         known.update((w, v) for w, v in ids.items() if len(w) <= 48)
+        first = self._ids([parts[0] for parts in cut])
         if any(len(w) > 48 for w in fresh):
-            get = lambda w: known.get(w) or ids.get(w, b"")
+            get = lambda w: known[w] if w in known else ids[w]
         else:
             get = known.__getitem__
         return [a + b"".join(map(get, parts[1:])) for a, parts in zip(first, cut)]
