@@ -31,21 +31,25 @@ def letter_counts(c: Column) -> Column:
     return F.array(*[F.length(t) - F.length(F.replace(t, F.lit(x), F.lit(""))) for x in LOWER])
 
 
+def _chi(counts: Column, n: Column, shift: Column) -> Column:
+    share = F.array(*[F.lit(p / 100.0) for p in ENGLISH])
+    term = lambda i: F.pow(F.get(counts, (i + shift) % 26) - n * F.get(share, i), 2) / (n * F.get(share, i))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(25)), F.lit(0.0), lambda a, i: a + term(i))
+
+
 def chi_squared(counts: Column, shift: int = 0, least: int = 20) -> Column:
     """Against English after shifting letters back; the histogram is rotated, not the text. Null under ``least`` letters."""
     n = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    terms = [F.pow(counts[(i + shift) % 26] - n * (p / 100.0), 2) / (n * (p / 100.0)) for i, p in enumerate(ENGLISH)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return F.when(n >= least, total)
+    return F.when(n >= least, _chi(counts, n, F.lit(shift)))
 
 
-def caesar_shift(counts: Column, ratio: float = 0.5, most: float = 50.0) -> Column:
+def caesar_shift(counts: Column, ratio: float = 0.5, most: float = 50.0, least: int = 20) -> Column:
     """The shift of least chi-squared if it is at most ratio of the raw one and at most ``most``; else null."""
-    best = F.array_min(F.array(*[F.struct(chi_squared(counts, s).alias("chi"), F.lit(s).alias("shift")) for s in range(1, 26)]))
-    raw = chi_squared(counts)
-    return F.when((best["chi"] < raw) & (best["chi"] <= raw * ratio) & (best["chi"] <= most), best["shift"])
+    n = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+    all_of_them = F.transform(F.sequence(F.lit(0), F.lit(25)), lambda s: F.struct(_chi(counts, n, s).alias("chi"), s.alias("shift")))
+    best = F.array_min(F.filter(all_of_them, lambda x: x["shift"] > 0))
+    raw = _chi(counts, n, F.lit(0))
+    return F.when((n >= least) & (best["chi"] < raw) & (best["chi"] <= raw * ratio) & (best["chi"] <= most), best["shift"])
 
 
 def base64_texts(c: Column) -> Column:

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 def pvalues(scores: DataFrame, benign: DataFrame, score: str, *keys: str) -> DataFrame:
     """Conformal p-values (1 + #{b >= s}) / (n + 1), by a running count over both tables' distinct scores."""
-    sums = scores.select(F.col(score).alias("s"), F.lit(0).alias("b")).unionAll(benign.select(F.col(score), F.lit(1))).where("s is not null").groupBy("s").agg(F.sum("b").alias("b"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = scores.select(F.col(score).alias("__at"), F.lit(0).alias("b")).unionAll(benign.select(F.col(score), F.lit(1))).where("__at is not null").groupBy("__at").agg(F.sum("b").alias("b"))
+    down = Window.orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, 0)
     total = sums.agg(F.sum("b").alias("n"))
-    p = sums.withColumn("above", F.sum("b").over(down)).join(F.broadcast(total)).select("s", ((1 + F.col("above")) / (F.col("n") + 1)).alias("p"), "n")
-    return scores.join(p, scores[score] == p["s"]).select(*keys, score, "p", "n")
+    p = sums.withColumn("above", F.sum("b").over(down)).join(F.broadcast(total)).select("__at", ((1 + F.col("above")) / (F.col("n") + 1)).alias("p"), "n")
+    return scores.join(p, F.col(score) == F.col("__at")).select(*keys, score, "p", "n")
 
 
 def evalue(p: Column, kappa: Column | float) -> Column:
