@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import integrity_queries, score_queries, text_queries  # noqa: F401
+from . import integrity_queries, score_queries, stream_queries, text_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "sessions_correlation_rules"
