@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers 0 to n - 1 and their inverses, modulo 2**64."""
     if len(_POWERS[0]) < n:
         most = 1 << (n - 1).bit_length()
@@ -41,13 +41,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_sums(b: np.ndarray) -> np.ndarray:
     out = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * _powers(len(b))[0], out=out[1:])
+    np.cumsum(_BYTE[b] * powers(len(b))[0], out=out[1:])
     return out
 
 
 def range_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of bytes [start, end) that depend on the bytes alone."""
-    return mix((sums[end] - sums[start]) * _powers(len(sums))[1][start] + (end - start).astype(np.uint64))
+    return mix((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(np.uint64))
 
 
 def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import mix, powers
 from .tokens import text_slices
 
 MARK = "▁"
@@ -36,13 +37,27 @@ def lattice(path: str, n: int) -> "PieceLattice":
     return _MODELS[path, n]
 
 
+def _prefix_rows(codes: np.ndarray) -> np.ndarray:
+    out = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
+    np.cumsum(mix(codes + np.uint64(1)) * powers(codes.shape[1])[0], axis=1, out=out[:, 1:])
+    return out
+
+
+def _range_rows(sums: np.ndarray, a: int, b: int) -> np.ndarray:
+    return mix((sums[:, b] - sums[:, a]) * powers(a + 1)[1][a] + np.uint64(b - a))
+
+
+def _hash_rows(codes: np.ndarray) -> np.ndarray:
+    return _range_rows(_prefix_rows(codes), 0, codes.shape[1])
+
+
 class PieceLattice:
     """pieces: (piece, score, special) by id; byte pieces are named <0x00> to <0xFF>.
 
     encode(text) -> [(score, ids)], best first, n at most; ties go to the smaller edits of the best, words in order.
     """
 
-    def __init__(self, pieces: list[tuple[str, float, bool]], n: int = 4, max_words: int = 400_000):
+    def __init__(self, pieces: list[tuple[str, float, bool]], n: int = 4, max_words: int = 300_000):
         self.n, self.max_words, self.pieces = n, max_words, [p for p, _, _ in pieces]
         self.bytes = {int(p[3:5], 16): i for i, (p, _, _) in enumerate(pieces) if re.fullmatch(r"<0x[0-9A-F]{2}>", p)}
         spelled = [(p, i, s) for i, (p, s, special) in enumerate(pieces) if not special and p and i not in set(self.bytes.values())]
@@ -51,7 +66,11 @@ class PieceLattice:
         self.vocab = {p: (i, s) for p, i, s in spelled}
         self.scores = [s for _, s, _ in pieces]
         self.longest = max((len(p) for p in self.vocab), default=1)
+        spelled = sorted((int(_hash_rows(np.array([[ord(c) for c in p]], np.uint64))[0]), i, s) for p, (i, s) in self.vocab.items())
+        self.hashes = np.array([x[0] for x in spelled], np.uint64)
+        self.piece_ids, self.piece_scores = np.array([x[1] for x in spelled], np.int64), np.array([x[2] for x in spelled], np.float64)
         self.known: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
         self.lists: dict[str, list] = {}
 
     def edges(self, word: str):
@@ -76,29 +95,68 @@ class PieceLattice:
                     best[e[0]], came[e[0]] = f + e[2], (a, e)
         return best, came
 
-    def word_best(self, word: str) -> tuple:
-        """(score, ids as bytes, gap to the second best or None); the second best leaves the best by one edge at least."""
-        edges = self.edges(word)
-        best, came = self.forward(edges)
-        size, path = len(word), []
-        at, on = size, set()
-        while at:
-            a, e = came[at]
-            path.append(e[1])
-            on.add((a, e[0], e[1]))
-            at = a
-        back = [float("-inf")] * size + [0.0]
-        gap, total = None, best[size]
-        for a in range(size - 1, -1, -1):
-            m = float("-inf")
-            for b, ids, s in edges[a]:
-                t = s + back[b]
-                if t > m:
-                    m = t
-                if (g := total - best[a] - t) >= 0 and (gap is None or g < gap) and (a, b, ids) not in on:
-                    gap = g
-            back[a] = m
-        return total, np.array([i for ids in reversed(path) for i in ids], "<u4").tobytes(), gap
+    def learn(self, words: list[str]) -> None:
+        """Remember each word's (score, ids as bytes, gap to its second best or None), words of a length together."""
+        by: dict[int, list[str]] = {}
+        for w in words:
+            by.setdefault(len(w), []).append(w)
+        for size, group in by.items():
+            step = max(1, 400_000 // (size * min(size, self.longest)))
+            for a in range(0, len(group), step):
+                self._learn(group[a : a + step], size)
+
+    def _learn(self, group: list[str], size: int) -> None:
+        """Forward and backward Viterbi over all words at once; the second best leaves the best by one edge at least."""
+        m = len(group)
+        codes = np.frombuffer("".join(group).encode("utf-32-le"), "<u4").reshape(m, size).astype(np.uint64)
+        sums = _prefix_rows(codes)
+        edges: list[list[tuple]] = [[] for _ in range(size)]  # by start: (end, ids or -1, scores)
+        for a in range(size):
+            for b in range(a + 1, min(size, a + self.longest) + 1):
+                h = _range_rows(sums, a, b)
+                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                hit = self.hashes[at] == h
+                if b == a + 1 or hit.any():
+                    edges[a].append((b, np.where(hit, self.piece_ids[at], -1), np.where(hit, self.piece_scores[at], -np.inf)))
+            b, ids, scores = edges[a][0]
+            for k in np.flatnonzero(ids < 0).tolist():  # spelled by bytes
+                scores[k] = sum(self.scores[self.bytes[c]] for c in group[k][a].encode())
+        best, came = np.full((m, size + 1), -np.inf), np.zeros((m, size + 1), np.int64)
+        best[:, 0] = 0.0
+        for a in range(size):
+            for b, _, s in edges[a]:
+                t = best[:, a] + s
+                better = t > best[:, b]
+                best[better, b], came[better, b] = t[better], a
+        after, on = np.full((m, size), -1), np.zeros((m, size + 1), bool)
+        on[:, size] = True
+        for b in range(size, 0, -1):
+            rows = np.flatnonzero(on[:, b])
+            on[rows, came[rows, b]] = True
+            after[rows, came[rows, b]] = b
+        back, total, gap = np.full((m, size + 1), -np.inf), best[:, size], np.full(m, np.inf)
+        back[:, size] = 0.0
+        chosen = np.full((m, size), -2)  # -2: no piece starts here, -1: bytes
+        with np.errstate(invalid="ignore"):
+            for a in range(size - 1, -1, -1):
+                for b, ids, s in edges[a]:
+                    t = s + back[:, b]
+                    back[:, a] = np.maximum(back[:, a], t)
+                    mine = after[:, a] == b
+                    chosen[mine, a] = ids[mine]
+                    g = total - best[:, a] - t
+                    gap = np.where(mine | ~(g < gap), gap, np.maximum(g, 0.0))
+        counts, flat = (chosen != -2).sum(axis=1), chosen[chosen != -2].astype("<u4").tobytes()
+        ends = 4 * np.cumsum(counts)
+        spelled = (chosen == -1).any(axis=1).tolist()
+        for k, (w, e, n, s, g) in enumerate(zip(group, ends.tolist(), counts.tolist(), total.tolist(), gap.tolist())):
+            ids = flat[e - 4 * n : e]
+            if spelled[k]:
+                out = []
+                for a in np.flatnonzero(chosen[k] != -2).tolist():
+                    out += [chosen[k, a]] if chosen[k, a] >= 0 else [self.bytes[c] for c in w[a].encode()]
+                ids = np.array(out, "<u4").tobytes()
+            self.known[w] = (s, ids, g if g < np.inf else None)
 
     def word_list(self, word: str) -> list[tuple[float, tuple]]:
         """The n best of a word by backward A-star: (score, ids)."""
@@ -131,23 +189,29 @@ class PieceLattice:
             return _WORDS.findall(marked)
         return [MARK + w for w in marked[1:].split(MARK)]
 
+    def prepare(self, texts: list[list[str]]) -> None:
+        """Have all words of these texts in memory: two generations, the young one becoming the old one when it is full."""
+        new = set().union(*texts).difference(self.known)
+        if len(self.known) + len(new) > self.max_words and self.known:
+            self.old, self.known = self.known, {}
+            new = set().union(*texts)
+        self.known.update((w, self.old[w]) for w in new if w in self.old)
+        self.learn(sorted(w for w in new if w not in self.old))
+
     def encode(self, text: str) -> list[tuple[float, np.ndarray]]:
-        if not text:
+        words = self.words(text) if text else []
+        self.prepare([words])
+        return self.combine(words)
+
+    def combine(self, words: list[str]) -> list[tuple[float, np.ndarray]]:
+        """The n best of a text from its words', all of them prepared."""
+        if not words:
             return [(0.0, np.empty(0, "<u4"))]
-        words, known = self.words(text), self.known
-        for w in words:
-            if w not in known:
-                if len(known) >= self.max_words:
-                    known.clear()
-                    for x in words:
-                        known[x] = self.word_best(x)
-                    break
-                known[w] = self.word_best(w)
-        found = [known[w] for w in words]
+        found = [self.known[w] for w in words]
         raw = [x[1] for x in found]
-        out = [(sum(x[0] for x in found), np.frombuffer(b"".join(raw), "<u4"))]
+        out = [(sum([x[0] for x in found]), np.frombuffer(b"".join(raw), "<u4"))]
         # of the words in order of their second best's gap, the first n - 1 are all that the n best can change
-        open_at = heapq.nsmallest(self.n - 1, ((x[2], k) for k, x in enumerate(found) if x[2] is not None))
+        open_at = heapq.nsmallest(self.n - 1, [(x[2], k) for k, x in enumerate(found) if x[2] is not None])
         lists = [(k, [(s, np.array(ids, "<u4").tobytes()) for s, ids in self.word_list(words[k])]) for k in sorted(k for _, k in open_at)]
         heap, seen = [(0.0, (0,) * len(lists))], set()
         while heap and lists and len(out) < self.n:
@@ -188,7 +252,9 @@ def nbest(df: DataFrame, model: str, n: int = 4, id_col: str = "doc_id", text_co
         lat = lattice(model, n)
         for batch in batches:
             for at, texts in text_slices(batch, 1):
-                found = [lat.encode(t) for t in texts]
+                words = [lat.words(t) if t else [] for t in texts]
+                lat.prepare(words)
+                found = [lat.combine(w) for w in words]
                 cols = [
                     batch.column(0).slice(at, len(texts)),
                     pa.array([len(x[0][1]) for x in found], pa.int64()),
