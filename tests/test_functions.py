@@ -115,3 +115,23 @@ def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     got = [r[0] for r in df.select(vectors.cosine(F.col("a"), F.col("b"))).collect()]
     assert got[0] == pytest.approx(math.sqrt(0.5)) and got[1] is None
+
+
+def test_findings_with_places():
+    from screenlake.functions import findings
+
+    card = "4111111111111111"
+    hidden = base64.b64encode(f"card {card} ok".encode()).decode()
+    got = findings.find(f"pay {card} or 4111111111111112, mail a.b@x.com support@x.com {hidden}")
+    assert [k for k, *_ in got] == ["credit_card", "email", "base64_obfuscated_credit_card"]
+    assert got[0] == ("credit_card", 4, 20, "41" + "*" * 12 + "11")
+    assert findings.luhn(card) and not findings.luhn(card[:-1] + "2") and findings.find("1.4111111111111111") == []
+
+
+def test_authorization(spark):
+    from screenlake.operators import authorization as a
+
+    rows = [(1, "MONEY_DESTINATION", "T1", ["other"]), (2, "MONEY_DESTINATION", "T1", ["payee"]), (3, "CREDENTIAL", "T2", []), (4, "INTERNAL", "T4", None), (5, "CONTENT", "T0", []), (5, "EXECUTION", "T3", []), (6, "AMOUNT", "T0", [])]
+    got = a.authorize_calls(spark.createDataFrame(rows, "call int, sink string, tier string, roles array<string>")).collect()
+    assert {r.call: r.verdict for r in got} == {1: "confirm", 2: "allow", 3: "block", 4: "allow", 5: "block", 6: "confirm"}
+    assert values(spark, ["recipient", "API_KEY", "cmd", "count"], a.sink_class) == ["EXTERNAL_RECIPIENT", "CREDENTIAL", "EXECUTION", "INTERNAL"]
