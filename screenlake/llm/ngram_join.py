@@ -189,10 +189,12 @@ def _many(nodes, sizes, classes, sides, bits, percent: int):
                 yield int(part[i]), int(cols[j]), int(bound[i, j])
 
 
-def _tile_pairs(tiles: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, b) that pass in some tile of (h, node, size, class, bits); best: each node's nearest one in a tile only."""
+def _tile_pairs(tiles: DataFrame, hot: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b) that pass in some tile of (h, node, size, class, bits); best: each node's nearest one in a tile only.
+
+    hot: (h, blocks) of the tiles over TILE rows.
+    """
     n = shuffle_partitions(tiles.sparkSession)
-    hot = stage(tiles.groupBy("h").count().where(F.col("count") > TILE).select("h", F.ceil(F.col("count") / TILE).cast("int").alias("blocks")), "hot")
     dealt = tiles.join(hot, "h", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     one, two = F.least("block", "other"), F.greatest("block", "other")
@@ -277,14 +279,15 @@ def ngram_join(df: DataFrame, words: int = 4, percent: int = 85, id_col: str = "
     members = prefixes.select(F.explode("prefix").alias("h"), "node", "size")
     members = members.withColumn("prev", F.lag("size").over(by_size)).withColumn("next", F.lead("size").over(by_size))
     tiles = stage(members.where((100 * F.col("prev") >= percent * F.col("size")) | (100 * F.col("size") >= percent * F.col("next"))).select("h", "node"), "tiles")
+    hot = stage(tiles.groupBy("h").count().where(F.col("count") > TILE).select("h", F.ceil(F.col("count") / TILE).cast("int").alias("blocks")), "hot")
     tiles = tiles.join(prefixes.select("node", "size", "bits"), "node")
 
-    best = stage(_tile_pairs(tiles.withColumn("class", F.col("node")), percent, True), "pairs")
+    best = stage(_tile_pairs(tiles.withColumn("class", F.col("node")), hot, percent, True), "pairs")
     wanted = stage(best.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     sets = stage(_sets(docs.join(wanted, "id", "left_semi"), words), "members")
     links = _verified(best, sets, percent)
     so_far = stage(wanted.withColumnRenamed("id", "node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("class")), "so-far")
-    rest = _tile_pairs(tiles.join(so_far, "node"), percent, False)
+    rest = _tile_pairs(tiles.join(so_far, "node"), hot, percent, False)
     more = _verified(stage(rest.join(best, ["a", "b"], "left_anti"), "pairs"), sets, percent)
     final = components(links.unionAll(more))
 
