@@ -177,7 +177,7 @@ class PieceLattice:
             for a, ids, s in into[at]:
                 count += 1
                 heapq.heappush(heap, (-(best[a] + s + after), count, a, s + after, (ids, *tail)))
-        if len(self.lists) >= self.max_words:
+        if len(self.lists) >= 20_000:
             self.lists.clear()
         self.lists[word] = out
         return out
