@@ -5,8 +5,8 @@ goes on. Two sets of Jaccard similarity t or more share one of their first n - c
 shingles; here the most frequent shingles (a list of fixed size) come last, so that passages which many documents share
 open no tile unless a document is little else. A tile holds the documents of one shared prefix member in order of set size.
 
-Inside a tile, pairs in a band of sizes are compared by signatures: the parity of hashed members in a bitmap of four bits
-a member or more; n1 + n2 less the differing bits, halved, is no less than the overlap. Only pairs that pass leave the tile, to meet
+Inside a tile, pairs in a band of sizes are compared by signatures: the parity of hashed members in a bitmap of 1024
+bits or as many as members; n1 + n2 less the differing bits, halved, is no less than the overlap. Only pairs that pass leave the tile, to meet
 the exact intersection. In round one each document leaves with its best partner alone, so pairs are in proportion to the
 rows; the classes these links make are found, and in round two every pair between different classes that passes leaves.
 A pair within a class would change nothing, so a large group of near copies makes no square of pairs. Tiles over a fixed
@@ -41,8 +41,8 @@ def least_overlap(n: int, m: int, percent: int) -> int:
 
 
 def bitmap(members: np.ndarray) -> bytes:
-    """Parities of the members hashed to a power of two of bits, at least four for each member."""
-    width = max(64, 4 << max(0, len(members) - 1).bit_length())
+    """Parities of the members hashed to a power of two of bits, at least 1024 and at least as many as there are members."""
+    width = max(1024, 1 << max(0, len(members) - 1).bit_length())
     odd = np.bincount((mix(members) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
