@@ -303,8 +303,7 @@ def metrics_ablation_rollup(spark, sf):
     SELECT session, coalesce(greatest(coalesce(l1, 0), coalesce(l2, 0), coalesce(l3, 0), coalesce(l4, 0), coalesce(l5, 0)), 0) <= 0.45 AS below, CAST(coalesce(l1 >= .15, false) AS INT) + CAST(coalesce(l2 >= .15, false) AS INT) + CAST(coalesce(l3 >= .15, false) AS INT) AS carrying FROM m""")
 def certificates_sub_threshold(spark, sf):
     """Every layer at .50 - .05 or below, and how many of the first three carry .15 or more."""
-    e = events(spark, sf).where("event_id % 40 = 0")
-    m = e.groupBy("session", "label").agg(*[F.max(F.when(F.col("layer") == k, F.col("score"))).alias(k) for k in ANCHORS])
+    m = events(spark, sf).groupBy("session", "label").agg(*[F.max(F.when(F.col("layer") == k, F.col("score"))).alias(k) for k in ANCHORS])
     top = F.greatest(*[F.coalesce(k, F.lit(0.0)) for k in ANCHORS])
     carrying = sum((F.coalesce(F.col(k) >= 0.15, F.lit(False)).cast("int") for k in ("L1", "L2", "L3")), F.lit(0))
     return m.select("session", (top <= 0.45).alias("below"), carrying.alias("carrying"))
