@@ -220,8 +220,8 @@ def sessions_taint_propagation(spark, sf):
     p2 AS (SELECT a.x || ' > ' || b.x AS pattern, count(DISTINCT a.session) AS support, 2 AS length FROM s a JOIN s b ON a.session = b.session AND a.event_id < b.event_id GROUP BY 1)
     SELECT pattern, support, length FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2), n WHERE support >= least""")
 def mining_frequent_patterns(spark, sf):
-    e = events(spark, sf).where("event_id % 6 = 0").withColumn("item", mining.symbol("layer", "score"))
-    return mining.frequent_patterns(mining.sequences(e, "session", "event_id", "item"), "session", "items", 0.2, 2)
+    e = events(spark, sf).withColumn("item", mining.symbol("layer", "score"))
+    return mining.frequent_patterns(mining.sequences(e, "session", "event_id", "item"), "session", "items", 0.2, 5)
 
 
 @query(f"""

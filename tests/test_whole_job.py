@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import random
+
+from screenlake.operators import mining
 from screenlake.plans import catalog
 
 TYPES = {"L1": "click", "L2": "view", "L3": "purchase", "L4": "error", "L5": "other"}
@@ -22,3 +27,38 @@ def test_sub_threshold_reads_every_event(spark, tmp_path):
     rows = [(40, 1, "L1", 0.1), (41, 1, "L2", 0.9), (42, 2, "L3", 0.2), (43, 2, "L1", 0.3), (80, 3, "L4", 0.1)]
     got = {r.session: (r.below, r.carrying) for r in run(spark, tmp_path, "certificates_sub_threshold", events=events(rows))}
     assert got == {1: (False, 1), 2: (True, 2), 3: (True, 0)}
+
+
+def held_patterns(sequences, share, most):
+    """Brute force: the patterns of up to ``most`` steps that ceil(share * n) sequences hold."""
+    def holds(p, q):
+        it = iter(q)
+        return all(x in it for x in p)
+
+    found, symbols = {}, sorted({x for q in sequences for x in q})
+    for k in range(1, most + 1):
+        for p in itertools.product(symbols, repeat=k):
+            n = sum(holds(p, q) for q in sequences)
+            if n >= math.ceil(share * len(sequences)):
+                found[" > ".join(p)] = (n, k)
+    return found
+
+
+def test_mining_reads_every_event_up_to_five_steps(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(1, 8), rng.choice(("L1", "L3")), rng.choice((0.1, 0.5))) for i in range(60)]
+    sequences = {}
+    for _, s, layer, score in rows:
+        sequences.setdefault(s, []).append(f"{layer}:{'LOW' if score < 0.35 else 'MEDIUM'}")
+    want = held_patterns(list(sequences.values()), 0.2, 5)
+    assert max(k for _, k in want.values()) == 5
+    assert {r.pattern: (r.support, r.length) for r in run(spark, tmp_path, "mining_frequent_patterns", events=events(rows))} == want
+
+
+def test_mining_of_many_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    sequences = [rng.choices("abcd", (6, 3, 2, 1), k=rng.randrange(0, 9)) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(sequences)), "s int, items array<string>").repartition(5)
+    monkeypatch.setattr(mining, "ITEMS", 20)
+    got = {r.pattern: (r.support, r.length) for r in mining.frequent_patterns(df, "s", "items", 0.1, 4).collect()}
+    assert got == held_patterns(sequences, 0.1, 4)
