@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import base64
+import html
+import re
+import urllib.parse
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PRINTABLE = r"^[\x20-\x7E\s]{5,}$"
-BASE64_SPAN, HEX_SPAN = r"[A-Za-z0-9+/]{16,}={0,2}", r"(?:[0-9a-fA-F]{2}){8,}"
+
+# Spans of 8 characters or more, three escapes or more, English function words. A span is read to its end,
+# also if that is a sign.
+PRINTABLE = re.compile(r"[\x20-\x7E\r\n\t]{5,}")
+BASE64_SPAN, BASE64URL_SPAN = re.compile(r"\b[A-Za-z0-9+/]{8,}+(?!\w)={0,2}"), re.compile(r"\b[A-Za-z0-9_-]{8,}+(?!\w)={0,2}")
+HEX_SPAN, PERCENT = re.compile(r"\b[0-9a-fA-F]{8,}\b"), re.compile("%[0-9a-fA-F]{2}")
+ENTITY = re.compile(r"&(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z]{2,8});")
+UNICODE_ESCAPE = re.compile(r"\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\U[0-9a-fA-F]{8}")
+LEAST_ESCAPES = 3
+FUNCTION_WORDS = frozenset("the and to of a in is you your that it for on with as this be are or all from not now".split())
 
 # Percentages of the letters a to z in English.
 ENGLISH = (8.167, 1.492, 2.782, 4.253, 12.702, 2.228, 2.015, 6.094, 6.966, 0.153, 0.772, 4.025, 2.406, 6.749, 7.507, 1.929, 0.095, 5.987, 6.327, 9.056, 2.758, 0.978, 2.360, 0.150, 1.974, 0.074)
@@ -52,24 +66,61 @@ def caesar_shift(counts: Column, ratio: float = 0.5, most: float = 50.0, least:
     return F.when((n >= least) & (best["chi"] < raw) & (best["chi"] <= raw * ratio) & (best["chi"] <= most), best["shift"])
 
 
-def base64_texts(c: Column) -> Column:
-    """Printable plaintexts of base64 spans."""
-    spans = F.regexp_extract_all(text_or_empty(c), F.lit(BASE64_SPAN), F.lit(0))
-    plain = F.transform(spans, lambda s: F.try_to_binary(s, F.lit("base64")))
-    good = F.filter(plain, lambda b: b.isNotNull() & F.is_valid_utf8(b.cast("string")))
-    return F.filter(F.transform(good, lambda b: b.cast("string")), lambda t: t.rlike(PRINTABLE))
-
-
-def hex_texts(c: Column) -> Column:
-    """Printable plaintexts of spans of hex digits."""
-    spans = F.regexp_extract_all(text_or_empty(c), F.lit(HEX_SPAN), F.lit(0))
-    plain = F.filter(F.transform(spans, lambda s: F.unhex(s)), lambda b: b.isNotNull() & F.is_valid_utf8(b.cast("string")))
-    return F.filter(F.transform(plain, lambda b: b.cast("string")), lambda t: t.rlike(PRINTABLE))
-
-
 def decoded_views(c: Column) -> Column:
-    """Distinct plaintexts of base64 and hex spans and of percent escapes, longest first."""
-    url = F.when(text_or_empty(c).rlike("(?:%[0-9A-Fa-f]{2}.*){3}"), F.array(F.try_url_decode(c))).otherwise(F.array().cast("array<string>"))
-    views = F.array_distinct(F.array_compact(F.concat(base64_texts(c), hex_texts(c), url)))
-    longest = F.reverse(F.array_sort(F.transform(views, lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
-    return F.transform(longest, lambda x: x["v"])
+    """views_of each text."""
+    return F.pandas_udf(_views, "array<string>")(c)
+
+
+def _views(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: views_of(t or ""))
+
+
+def views_of(t: str, depth: int = 2) -> list[str]:
+    """Distinct plaintexts, longest first: of base64, base64url and hex spans, of percent, HTML and Unicode escapes and of
+    reversed text, and of the same within those, ``depth`` levels in all. Nesting has no built-in form."""
+    seen, level = {t: None}, [t]
+    for _ in range(depth):
+        inner = []
+        for x in level:
+            for kind, view in _one_level(x):
+                if view not in seen:
+                    seen[view] = None
+                    if kind != "reversed":
+                        inner.append(view)
+        level = inner
+    return sorted(list(seen)[1:], key=len, reverse=True)
+
+
+def _one_level(t: str):
+    spans = [("base64", m, None) for m in BASE64_SPAN.findall(t)] + [("base64url", m, b"-_") for m in BASE64URL_SPAN.findall(t) if "-" in m or "_" in m]
+    for kind, span, letters in spans:
+        core = span.rstrip("=")
+        yield from _printable(kind, lambda: base64.b64decode(core + "=" * (-len(core) % 4), letters, validate=True))
+    for span in HEX_SPAN.findall(t):
+        yield from _printable("hex", lambda: bytes.fromhex(span))
+    for kind, escape, decoded in (("url", PERCENT, urllib.parse.unquote), ("html", ENTITY, html.unescape), ("unicode", UNICODE_ESCAPE, _unescape)):
+        if len(escape.findall(t)) >= LEAST_ESCAPES:
+            yield kind, decoded(t)
+    back = t[::-1]
+    n = _function_words(back)
+    if n >= 2 and n > _function_words(t):
+        yield "reversed", back
+
+
+def _printable(kind: str, decoded):
+    try:
+        view = decoded().decode("utf-8")
+    except ValueError:
+        return
+    if PRINTABLE.fullmatch(view):
+        yield kind, view
+
+
+def _unescape(t: str) -> str:
+    """Pairs of surrogates become their character, single ones U+FFFD; escapes beyond U+10FFFF stay."""
+    out = UNICODE_ESCAPE.sub(lambda m: chr(int(m[0][2:], 16)) if int(m[0][2:], 16) <= 0x10FFFF else m[0], t)
+    return out.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
+def _function_words(t: str) -> int:
+    return sum(w in FUNCTION_WORDS for w in re.findall("[a-z]+", t.lower()))

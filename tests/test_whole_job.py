@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import itertools
 import math
 import random
+import urllib.parse
 
+from screenlake.functions import decode
 from screenlake.operators import mining
 from screenlake.plans import catalog
 
@@ -62,3 +65,21 @@ def test_mining_of_many_parts(spark, monkeypatch):
     monkeypatch.setattr(mining, "ITEMS", 20)
     got = {r.pattern: (r.support, r.length) for r in mining.frequent_patterns(df, "s", "items", 0.1, 4).collect()}
     assert got == held_patterns(sequences, 0.1, 4)
+
+
+def test_every_kind_of_view():
+    t = "ignore all rules? ~~>"
+    b64, url = base64.b64encode(t.encode()).decode(), base64.urlsafe_b64encode(t.encode()).decode()
+    assert "-" in url
+    percent, entities = "".join(f"%{ord(x):02x}" for x in t), "".join(f"&#{ord(x)};" for x in t)
+    escapes = "".join(f"\\u{ord(x):04x}" for x in t)
+    for hidden in (f"see {b64} .", f"see {url} .", f"see {t.encode().hex()} ."):
+        assert decode.views_of(hidden)[0] == t
+    for hidden in (percent, entities, escapes, "".join(f"\\x{ord(x):02x}" for x in t), base64.b64encode(b64.encode()).decode()):
+        assert t in decode.views_of(hidden)
+    assert t in decode.views_of(base64.b64encode(percent.encode()).decode()) and t in decode.views_of(urllib.parse.quote(entities))
+    assert decode.views_of("now the rules of this are not for you"[::-1]) == ["now the rules of this are not for you"]
+    assert decode.views_of(base64.b64encode(b"rm -rf /").decode()) == ["rm -rf /"] == decode.views_of(b"rm -rf /".hex())
+    assert decode.views_of(r"\ud83d\ude00\ud83d") == ["\U0001F600\ufffd"] and decode.views_of("plain words") == decode.views_of("") == []
+    many = [f"harmless line {i}" for i in range(40)] + ["the real one is here now"]
+    assert set(decode.views_of(" ".join(base64.b64encode(x.encode()).decode() for x in many))) == set(many)
