@@ -126,10 +126,14 @@ def decode_rot13(spark, sf):
 
 @query("SELECT conv_id, turn, text AS plain FROM conversations WHERE length(text) >= 12 AND length(text) <= 200 AND regexp_full_match(text, '[\\x20-\\x7E\\s]*')")
 def decode_views(spark, sf):
-    """Turns hidden in base64 within other words come out again."""
-    t = table(spark, sf, "conversations").where("length(text) between 12 and 200").where(F.col("text").rlike(r"^[\x20-\x7E\s]*$"))
-    hidden = t.withColumn("hidden", F.concat(F.lit("see: "), F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", ""), F.lit(" .")))
-    return hidden.select("conv_id", "turn", decode.decoded_views(F.col("hidden"))[0].alias("plain"))
+    """All views of every turn: as it is, and hidden in base64, hex and percent escapes within other words."""
+    t = table(spark, sf, "conversations", "conv_id", "turn", "text")
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    hidden = lambda x: F.concat(F.lit("see: "), x, F.lit(" ."))
+    escaped = F.regexp_replace(F.hex(raw), "(..)", "%$1")
+    forms = {"as it is": F.col("text"), "base64": hidden(F.translate(F.base64(raw), "\r\n", "")), "hex": hidden(F.hex(raw)), "percent": hidden(escaped)}
+    form = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), x.alias("x")) for k, x in forms.items()]))
+    return t.select("conv_id", "turn", form.alias("f")).select("conv_id", "turn", "f.form", decode.decoded_views(F.col("f.x")).alias("views"))
 
 
 def _no_lookbehind(p: str) -> str:

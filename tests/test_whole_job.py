@@ -83,3 +83,15 @@ def test_every_kind_of_view():
     assert decode.views_of(r"\ud83d\ude00\ud83d") == ["\U0001F600\ufffd"] and decode.views_of("plain words") == decode.views_of("") == []
     many = [f"harmless line {i}" for i in range(40)] + ["the real one is here now"]
     assert set(decode.views_of(" ".join(base64.b64encode(x.encode()).decode() for x in many))) == set(many)
+
+
+def test_decode_views_of_every_turn(spark, tmp_path):
+    texts = ["shorter", "a long turn " * 150, "línea con acentos y más", None, "see %68%65%6c%6c%6f and " + base64.b64encode(b"first hidden line").decode() + " " + b"second hidden one".hex()]
+    got = run(spark, tmp_path, "decode_views", conversations=([(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string"))
+    views = {(r.turn, r.form): r.views for r in got}
+    assert len(got) == len(views) == 4 * len(texts)
+    for i in (0, 1):
+        assert [views[i, f] for f in ("as it is", "base64", "hex")] == [[], [texts[i]], [texts[i]]] and views[i, "percent"] == [f"see: {texts[i]} ."]
+    assert views[2, "percent"] == [f"see: {texts[2]} ."] and views[2, "base64"] == views[3, "as it is"] == []
+    assert set(views[4, "as it is"]) == {texts[4].replace("%68%65%6c%6c%6f", "hello"), "first hidden line", "second hidden one"}
+    assert {texts[4], "first hidden line", "second hidden one"} <= set(views[4, "base64"])
