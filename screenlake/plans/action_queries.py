@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import findings, signing
 from ..operators import authorization
 from .registry import query, table
-from .score_queries import EV, events
+from .score_queries import ANCHORS, EV, events
 
 _TOOLS = ["read_file", "send_email", "get_weather", "run_command", "book_table", "delete_file", "refund_api"]
 _PARAMETERS = ["path", "recipient", "city", "cmd", "hotel", "file_id", "iban"]
@@ -48,12 +50,17 @@ def actions_authorize_calls(spark, sf):
     h AS (SELECT m.session, -sum(CASE WHEN s > 0 THEN s / total * ln(s / total) ELSE 0 END) AS h FROM m JOIN t ON m.session = t.session GROUP BY m.session)
     SELECT t.session, round(sd / mean, 6) AS cv, round(top - mean, 6) AS gap, round(h / ln(5), 6) AS entropy FROM t JOIN h ON t.session = h.session WHERE n = 5""")
 def certificates_dispersion(spark, sf):
-    """How evenly a session's signal lies over the layers: variation, largest less mean, normalised entropy."""
-    m = events(spark, sf).groupBy("session", "layer").agg(F.avg("score").alias("s"))
-    share = F.col("s") / F.sum("s").over(Window.partitionBy("session"))
-    m = m.withColumn("h", F.when(F.col("s") > 0, -share * F.log(share)).otherwise(0.0))
-    t = m.groupBy("session").agg((F.stddev_pop("s") / F.avg("s")).alias("cv"), (F.max("s") - F.avg("s")).alias("gap"), (F.sum("h") / F.log(F.lit(5.0))).alias("entropy"), F.count("*").alias("n"))
-    return t.where("n = 5").select("session", *[F.round(c, 6).alias(c) for c in ("cv", "gap", "entropy")])
+    """How evenly a session's signal lies over the layers: variation, largest less mean, normalised entropy. A layer without
+    events counts 0; without any signal there is no variation and the entropy is 0."""
+    of = [F.coalesce(F.avg(F.when(F.col("layer") == k, F.col("score"))), F.lit(0.0)) for k in ANCHORS]
+    m = events(spark, sf).groupBy("session").agg(F.array(*of).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, s: a + s)
+    m = m.withColumn("total", total).withColumn("mean", F.col("total") / len(ANCHORS))
+    variance = F.aggregate("v", F.lit(0.0), lambda a, s: a + F.pow(s - F.col("mean"), 2)) / len(ANCHORS)
+    share = lambda s: s / F.col("total")
+    h = F.aggregate("v", F.lit(0.0), lambda a, s: a - F.when(s > 0, share(s) * F.log(share(s))).otherwise(0.0)) / math.log(len(ANCHORS))
+    t = m.select("session", F.when(F.col("mean") > 0, F.sqrt(variance) / F.col("mean")).alias("cv"), (F.array_max("v") - F.col("mean")).alias("gap"), h.alias("entropy"))
+    return t.select("session", *[F.round(c, 6).alias(c) for c in ("cv", "gap", "entropy")])
 
 
 @query(f"""

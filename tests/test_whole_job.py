@@ -6,6 +6,7 @@ import base64
 import itertools
 import math
 import random
+import statistics
 import urllib.parse
 
 from screenlake.functions import decode
@@ -95,3 +96,16 @@ def test_decode_views_of_every_turn(spark, tmp_path):
     assert views[2, "percent"] == [f"see: {texts[2]} ."] and views[2, "base64"] == views[3, "as it is"] == []
     assert set(views[4, "as it is"]) == {texts[4].replace("%68%65%6c%6c%6f", "hello"), "first hidden line", "second hidden one"}
     assert {texts[4], "first hidden line", "second hidden one"} <= set(views[4, "base64"])
+
+
+def test_dispersion_of_sessions_without_all_layers(spark, tmp_path):
+    rows = [(1, 1, "L1", 0.9), (2, 2, "L1", 0.5), (3, 2, "L3", 0.25), (4, 2, "L3", 0.75), (5, 3, "L2", 0.0)]
+    rows += [(10 + i, 4, f"L{i}", i / 10) for i in range(1, 6)]
+    got = {r.session: (r.cv, r.gap, r.entropy) for r in run(spark, tmp_path, "certificates_dispersion", events=events(rows))}
+
+    def want(v):
+        mean, shares = sum(v) / 5, [x / sum(v) for x in v if x]
+        return tuple(round(x, 6) for x in (statistics.pstdev(v) / mean, max(v) - mean, -sum(p * math.log(p) for p in shares) / math.log(5)))
+
+    assert got.pop(3) == (None, 0.0, 0.0)
+    assert got == {1: want([0.9, 0, 0, 0, 0]), 2: want([0.5, 0, 0.5, 0, 0]), 4: want([0.1, 0.2, 0.3, 0.4, 0.5])}
