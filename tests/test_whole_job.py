@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import itertools
 import math
 import random
@@ -98,6 +99,13 @@ def test_decode_views_of_every_turn(spark, tmp_path):
     assert {texts[4], "first hidden line", "second hidden one"} <= set(views[4, "base64"])
 
 
+def test_canonicalize_folds_latin_1(spark, tmp_path):
+    texts = ["plain", "ign\u00ba" + "re", "no\u00a0break", "\u00bd \u00b5 long \u017f \u0133", "ign\u00ba" + "re \u201cquoted\u201d", None]
+    got = run(spark, tmp_path, "text_canonicalize", documents=(list(enumerate(texts)), "doc_id int, text string"))
+    want = ["plain", "ignore", "no break", "i\u20442 \u03bc long s ij", "ignore \u201cquoted\u201d", ""]
+    assert {r.doc_id: r.digest for r in got} == {i: hashlib.md5(t.encode()).hexdigest() for i, t in enumerate(want)}
+
+
 def test_dispersion_of_sessions_without_all_layers(spark, tmp_path):
     rows = [(1, 1, "L1", 0.9), (2, 2, "L1", 0.5), (3, 2, "L3", 0.25), (4, 2, "L3", 0.75), (5, 3, "L2", 0.0)]
     rows += [(10 + i, 4, f"L{i}", i / 10) for i in range(1, 6)]
