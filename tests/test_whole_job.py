@@ -106,6 +106,12 @@ def test_canonicalize_folds_latin_1(spark, tmp_path):
     assert {r.doc_id: r.digest for r in got} == {i: hashlib.md5(t.encode()).hexdigest() for i, t in enumerate(want)}
 
 
+def test_injection_reports_all_patterns(spark, tmp_path):
+    texts = ["please forget the original goal", "don't forget the task", "do not forget the task", "new goal", "forget all instructions; new goal", None]
+    got = run(spark, tmp_path, "patterns_injection", documents=(list(enumerate(texts)), "doc_id int, text string"))
+    assert {r.doc_id: r.found for r in got} == dict(enumerate(["8,", "", "", "7,", "7,8,", ""]))
+
+
 def test_dispersion_of_sessions_without_all_layers(spark, tmp_path):
     rows = [(1, 1, "L1", 0.9), (2, 2, "L1", 0.5), (3, 2, "L3", 0.25), (4, 2, "L3", 0.75), (5, 3, "L2", 0.0)]
     rows += [(10 + i, 4, f"L{i}", i / 10) for i in range(1, 6)]
