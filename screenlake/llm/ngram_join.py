@@ -6,11 +6,15 @@ shingles; here the most frequent shingles (a list of fixed size) come last, so t
 open no tile unless a document is little else. A tile holds the documents of one shared prefix member in order of set size.
 
 Inside a tile, pairs in a band of sizes are compared by signatures: the parity of hashed members in a bitmap of 1024
-bits or as many as members; n1 + n2 less the differing bits, halved, is no less than the overlap. Only pairs that pass leave the tile, to meet
-the exact intersection. In round one each document leaves with its best partner alone, so pairs are in proportion to the
-rows; the classes these links make are found, and in round two every pair between different classes that passes leaves.
-A pair within a class would change nothing, so a large group of near copies makes no square of pairs. Tiles over a fixed
-size are cut into blocks, and each two blocks are compared by a task's work of their own.
+bits or as many as members; n1 + n2 less the differing bits, halved, is no less than the overlap. Pairs never leave a tile
+in number: in round one each document names its best partner in its tile, or in its block of a large tile, and those that
+the exact intersection confirms make classes. A tile's smallest document goes to all its blocks, so that a large group of
+near copies hangs together. In round two only tiles of several classes are looked at, and all their pairs of different
+classes count: a document that passes with any of them is sent its members, the sorted arrays are intersected in the tile
+itself, in the first of the tiles that a pair shares, and a spanning forest of the confirmed links leaves it.
+
+A large tile of round two is cut into cells: blocks of its largest class against blocks of the others, and blocks of the
+others against each other. The largest class never meets itself, so a group of near copies makes no square of its size.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from .tokens import text_slices
 
 #: At most so many frequent shingles are put last, and a partition names at most so many.
 HEAVY, HEAVY_OF_PARTITION, HEAVY_LEAST = 32_768, 8_192, 8
-#: Rows of a tile that one task compares at once.
-TILE = 4_096
+#: Rows, and members of their sets, of a tile that one task compares at once.
+TILE, MEMBERS = 4_096, 1_000_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -95,10 +99,10 @@ def _documents(df: DataFrame, words: int) -> DataFrame:
                 )
                 all_of_them = np.concatenate(sets)
                 seen.append(all_of_them)
-                counts.append(np.ones(len(all_of_them)))
+                counts.append(np.ones(len(all_of_them), np.int32))
                 waiting += len(all_of_them)
-                if waiting > 2_000_000:
-                    h, c = _merged(seen, counts, 1_000_000)
+                if waiting > 1_000_000:
+                    h, c = _merged(seen, counts, 500_000)
                     seen, counts, waiting = [h], [c], 0
         if seen:
             h, c = _merged(seen, counts, HEAVY_OF_PARTITION)
@@ -113,7 +117,7 @@ def _prefixes(df: DataFrame, words: int, percent: int, heavy: np.ndarray) -> Dat
     def run(batches):
         for batch in batches:
             for at, texts in text_slices(batch, 1):
-                n, k1, k2, prefix, bits = [], [], [], [], []
+                n, k1, k2, prefix, rare, bits = [], [], [], [], [], []
                 for s in shingle_sets(texts, words):
                     last = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s if len(heavy) else np.zeros(len(s), bool)
                     a, b = _keys(s)
@@ -121,10 +125,14 @@ def _prefixes(df: DataFrame, words: int, percent: int, heavy: np.ndarray) -> Dat
                     k1.append(a)
                     k2.append(b)
                     bits.append(bitmap(s))
+                    rare.append(int((~last).sum()))
                     prefix.append(np.concatenate([s[~last], s[last]])[: prefix_length(len(s), percent) if len(s) else 0].view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["id", "n", "k1", "k2", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(rare, pa.int32()), pa.array(bits, pa.binary())],
+                    names=["id", "n", "k1", "k2", "prefix", "rare", "bits"],
+                )
 
-    return df.mapInArrow(run, "id long, n long, k1 long, k2 long, prefix array<long>, bits binary")
+    return df.mapInArrow(run, "id long, n long, k1 long, k2 long, prefix array<long>, rare int, bits binary")
 
 
 def _sets(df: DataFrame, words: int) -> DataFrame:
@@ -145,8 +153,9 @@ def _fold(x: int, width: int, to: int) -> int:
 
 
 def _few(nodes, sizes, classes, sides, bits, percent: int):
-    """Passing pairs (i, j, bound) of a small tile, i before j by size."""
+    """Passing pairs of a small tile, one array of (i, j, bound) with i before j by size."""
     ints = [(int.from_bytes(b, "big"), 8 * len(b)) for b in bits]
+    out = []
     for i, n in enumerate(sizes):
         x, w = ints[i]
         for j in range(i + 1, len(sizes)):
@@ -159,11 +168,13 @@ def _few(nodes, sizes, classes, sides, bits, percent: int):
             to = min(w, v)
             bound = (n + m - (_fold(x, w, to) ^ _fold(y, v, to)).bit_count()) // 2
             if bound >= least_overlap(n, m, percent):
-                yield i, j, bound
+                out.append((i, j, bound))
+    if out:
+        yield tuple(np.array(out, np.int64).T)
 
 
 def _many(nodes, sizes, classes, sides, bits, percent: int):
-    """As _few, for large tiles, in numpy."""
+    """As _few, for large tiles, in numpy, a few million pairs at a time."""
     nodes, n, classes, sides = (np.array(x, np.int64) for x in (nodes, sizes, classes, sides))
     widths = np.array([8 * len(b) for b in bits])
     for to in np.unique(widths):
@@ -185,62 +196,194 @@ def _many(nodes, sizes, classes, sides, bits, percent: int):
             fine &= (nodes[part][:, None] != nodes[cols][None, :]) & (classes[part][:, None] != classes[cols][None, :])
             fine &= (widths[part][:, None] == to) | (widths[cols][None, :] == to)
             fine &= (sides[part][:, None] == 0) | (sides[part][:, None] != sides[cols][None, :])
-            for i, j in zip(*np.nonzero(fine)):
-                yield int(part[i]), int(cols[j]), int(bound[i, j])
+            i, j = np.nonzero(fine)
+            if len(i):
+                yield part[i].astype(np.int64), cols[j].astype(np.int64), bound[i, j]
 
 
-def _tile_pairs(tiles: DataFrame, hot: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, b) that pass in some tile of (h, node, size, class, bits); best: each node's nearest one in a tile only.
+def passing(nodes, sizes, classes, sides, bits, percent: int):
+    """Arrays (i, j, bound) of the pairs of rows, sorted by size, that may be linked.
 
-    hot: (h, blocks) of the tiles over TILE rows.
+    Rows of one class make no pair, nor do rows of one side, unless the side is 0.
     """
-    n = shuffle_partitions(tiles.sparkSession)
-    dealt = tiles.join(hot, "h", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    one, two = F.least("block", "other"), F.greatest("block", "other")
-    side = F.when(one == two, 0).otherwise(F.col("block") + 1)  # in a pair of blocks, only pairs across
-    dealt = dealt.select("h", one.alias("one"), two.alias("two"), "node", "size", "class", side.alias("side"), "bits")
-
-    def pairs_of(rows):
-        nodes, sizes, classes, sides, bits = zip(*rows)
-        if len(set(classes)) < 2:
-            return
-        found = (_few if len(rows) <= 24 else _many)(nodes, sizes, classes, sides, bits, percent)
-        if not best:
-            yield from ((nodes[i], nodes[j]) for i, j, _ in found)
-            return
-        top: dict[int, tuple] = {}
-        for i, j, bound in found:
-            score = bound / (sizes[i] + sizes[j] - bound)
-            for x, y in ((i, j), (j, i)):
-                if x not in top or (-score, nodes[y]) < top[x]:
-                    top[x] = (-score, nodes[y])
-        yield from ((nodes[x], y) for x, (_, y) in top.items())
+    if len(set(classes)) > 1:
+        yield from (_few if len(nodes) <= 24 else _many)(nodes, sizes, classes, sides, bits, percent)
+
+
+class Overlaps:
+    """Sizes of many intersections of sorted arrays without repeats, by one search in all of them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        known, self.rank = np.unique(flat, return_inverse=True)
+        self.width = max(1, len(known))
+        self.keys = np.repeat(np.arange(len(sets)), self.size) * self.width + self.rank
+
+    def of(self, i: np.ndarray, j: np.ndarray, most: int = 1_000_000) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        if not len(self.keys):
+            return out
+        swap = self.size[i] > self.size[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        ends = np.cumsum(self.size[i])
+        a = 0
+        while a < len(i):
+            e = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+            n = self.size[i[a:e]]
+            pair = np.repeat(np.arange(e - a), n)
+            inner = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+            probe = j[a:e][pair] * self.width + self.rank[self.start[i[a:e]][pair] + inner]
+            at = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
+            out[a:e] = np.bincount(pair[self.keys[at] == probe], minlength=e - a)
+            a = e
+        return out
+
+
+def _best(nodes, sizes, sides, bits, percent: int):
+    """Each row's pair with its nearest passing partner, as arrays of node ids."""
+    n, ids = np.array(sizes, np.int64), np.array(nodes, np.int64)
+    score, partner = np.full(len(n), -1.0), np.zeros(len(n), np.int64)
+    for i, j, bound in passing(nodes, sizes, nodes, sides, bits, percent):
+        s = np.tile(bound / (n[i] + n[j] - bound), 2)
+        x, y = np.concatenate([i, j]), ids[np.concatenate([j, i])]
+        order = np.lexsort((y, -s, x))
+        top = order[np.concatenate([[True], np.diff(x[order]) != 0])]
+        x, y, s = x[top], y[top], s[top]
+        better = (s > score[x]) | ((s == score[x]) & (y < partner[x]))
+        score[x[better]], partner[x[better]] = s[better], y[better]
+    found = score >= 0
+    return ids[found], partner[found]
+
+
+def _live(nodes, sizes, classes, sides, bits, percent: int):
+    """Rows that pass with some row of another class, as an array of node ids."""
+    found = np.zeros(len(nodes), bool)
+    for i, j, _ in passing(nodes, sizes, classes, sides, bits, percent):
+        found[i] = found[j] = True
+    ids = np.unique(np.array(nodes, np.int64)[found])
+    return ids, ids
+
+
+def forest(h: int, nodes, sizes, classes, sides, bits, prefixes, members, percent: int):
+    """Links (arrays of node ids) that join the rows' classes, each confirmed by the exact intersection.
+
+    A pair is looked at in the least of the prefix members that both share, so in one tile only.
+    """
+    n, ids = np.array(sizes, np.int64), np.array(nodes, np.int64)
+    _, label = np.unique(np.array(classes, np.int64), return_inverse=True)
+    whole = Overlaps([np.frombuffer(m, np.uint64) for m in members])
+    before = Overlaps([np.sort(p[p < h]) for p in (np.array(p, np.int64) for p in prefixes)])
+    out: list[tuple[int, int]] = []
+    for i, j, _ in passing(nodes, sizes, classes, sides, bits, percent):
+        for a in range(0, len(i), 20_000):
+            x, y = i[a : a + 20_000], j[a : a + 20_000]
+            fresh = label[x] != label[y]
+            x, y = x[fresh], y[fresh]
+            first = before.of(x, y) == 0
+            x, y = x[first], y[first]
+            total = n[x] + n[y]
+            linked = whole.of(x, y) >= -(-percent * total // (100 + percent))
+            for u, v in zip(x[linked].tolist(), y[linked].tolist()):
+                if label[u] != label[v]:
+                    label[label == label[v]] = label[u]
+                    out.append((int(ids[u]), int(ids[v])))
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def _in_cells(rows: DataFrame, keys: list[str], columns: list[str], of) -> DataFrame:
+    """of(first key, *columns) -> (a, b) arrays, over each cell's rows in order of size."""
+    n, width = shuffle_partitions(rows.sparkSession), len(keys)
 
     def run(batches):
-        key, rows, out = None, [], []
-        for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(8)]
-            for h, o, t, *row in zip(*cols):
-                if (h, o, t) != key:
-                    if len(rows) > 1:
-                        out += pairs_of(rows)
-                    key, rows = (h, o, t), []
-                rows.append(row)
-            while len(out) > 10_000:
-                yield _batch(out[:10_000])
-                out = out[10_000:]
-        if len(rows) > 1:
-            out += pairs_of(rows)
-        for a in range(0, len(out), 10_000):
-            yield _batch(out[a : a + 10_000])
+        key, cell, out, waiting = None, [], [], 0
 
-    dealt = dealt.repartition(n, "h", "one", "two").sortWithinPartitions("h", "one", "two", "size", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+        def results():
+            a, b = (np.concatenate(x) for x in zip(*out))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate(of_h))], names=["a", "b", "h"])
 
+        of_h: list[np.ndarray] = []
 
-def _batch(pairs: list[tuple[int, int]]):
-    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["a", "b"])
+        def done():
+            nonlocal waiting
+            if len(cell) > 1:
+                found = of(key[0], *zip(*cell))
+                if len(found[0]):
+                    out.append(found)
+                    of_h.append(np.full(len(found[0]), key[0], np.int64))
+                    waiting += len(found[0])
+
+        for batch in batches:
+            cols = [batch.column(k).to_pylist() for k in range(width + len(columns))]
+            for row in zip(*cols):
+                if row[:width] != key:
+                    done()
+                    key, cell = row[:width], []
+                    if waiting > 10_000:
+                        yield results()
+                        out, of_h, waiting = [], [], 0
+                cell.append(row[width:])
+        done()
+        if out:
+            yield results()
+
+    dealt = rows.select(*keys, *columns).repartition(n, *keys).sortWithinPartitions(*keys, "size", "node")
+    return dealt.mapInArrow(run, "a long, b long, h long")
+
+
+def _best_pairs(tiles: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Round one: pairs (a, b) of nodes and their best partners in a block of a tile of (h, node, size)."""
+    hot = stage(tiles.groupBy("h").agg(F.count("*").alias("rows"), F.min("node").alias("first")).where(F.col("rows") > TILE).select("h", "first", F.ceil(F.col("rows") / TILE).cast("int").alias("blocks")), "hot")
+    dealt = tiles.join(hot, "h", "left")
+    own = F.pmod(F.xxhash64("h", "node"), F.coalesce("blocks", F.lit(1))).cast("int")
+    dealt = dealt.withColumn("block", F.explode(F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
+    dealt = dealt.select("h", "block", "node", "size").join(prefixes.select("node", "bits"), "node")
+    return _in_cells(dealt, ["h", "block"], ["node", "size", "bits"], lambda h, nodes, sizes, bits: _best(nodes, sizes, [0] * len(nodes), bits, percent)).select("a", "b").distinct()
+
+
+def _cells(tiles: DataFrame, most_rows: int, most_members: int) -> DataFrame:
+    """(h, kind, one, two, side, node, size, class) of tiles of several classes; a row comes once in each of its cells.
+
+    Kind 0: a small tile whole. Kind 1: a block of the largest class against a block of the others. Kind 2: two blocks of
+    the others. In each two rows of different sides meet, and in side 0 all rows.
+    """
+    each = tiles.groupBy("h", "class").agg(F.count("*").alias("rows"), F.sum("size").alias("members"))
+    several = each.groupBy("h").agg(F.count("*").alias("classes"), F.sum("rows").alias("rows"), F.sum("members").alias("members"), F.max(F.struct("rows", "class", "members")).alias("top")).where("classes > 1")
+    blocks = lambda r, m: F.greatest(F.lit(1), F.ceil(r / most_rows), F.ceil(m / most_members)).cast("int")
+    several = several.select(
+        "h",
+        ((F.col("rows") > most_rows) | (F.col("members") > most_members)).alias("big"),
+        F.col("top.class").alias("main"),
+        blocks(F.col("top.rows"), F.col("top.members")).alias("n_main"),
+        blocks(F.col("rows") - F.col("top.rows"), F.col("members") - F.col("top.members")).alias("n_rest"),
+    )
+    dealt = tiles.join(stage(several, "several"), "h")
+    main = F.col("class") == F.col("main")
+    cell = lambda k, a, b, s: F.struct(F.lit(k).alias("kind"), a.alias("one"), b.alias("two"), s.alias("side"))
+    zero = F.lit(0)
+    block = F.col("block")
+    to_rest = F.transform(F.sequence(zero, F.col("n_rest") - 1), lambda c: cell(1, block, c, F.lit(2)))
+    to_main = F.transform(F.sequence(zero, F.col("n_main") - 1), lambda b: cell(1, b, block, F.lit(1)))
+    among = F.transform(F.sequence(zero, F.col("n_rest") - 1), lambda c: cell(2, F.least(block, c), F.greatest(block, c), F.when(block == c, 0).otherwise(block + 1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("h", "node"), F.when(main, F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
+    dealt = dealt.withColumn("cell", F.explode(F.when(~F.col("big"), F.array(cell(0, zero, zero, zero))).when(main, to_rest).otherwise(F.concat(to_main, among))))
+    return dealt.select("h", "cell.*", "node", "size", "class")
+
+
+def _forest_links(tiles: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Round two: confirmed links (a, b) between the classes of tiles (h, node, size, class)."""
+    keys = ["h", "kind", "one", "two"]
+    cells = _cells(tiles, TILE, 1 << 62).join(prefixes.select("node", "bits"), "node")
+    live = _in_cells(cells, keys, ["node", "size", "class", "side", "bits"], lambda h, nodes, sizes, classes, sides, bits: _live(nodes, sizes, classes, sides, bits, percent))
+    live = stage(live.select("h", F.col("a").alias("node")).distinct(), "live")
+    live = stage(live.join(tiles, ["h", "node"]).select("h", "node", "size", "class"), "live")
+    sets = stage(_sets(docs.join(live.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), words), "members")
+    sets = sets.select(F.col("id").alias("node"), F.col("n").alias("size"), "members").distinct()
+    exact = _cells(live, TILE, MEMBERS).join(prefixes.select("node", "bits", "prefix"), "node").join(sets, ["node", "size"])
+    links = _in_cells(exact, keys, ["node", "size", "class", "side", "bits", "prefix", "members"], lambda h, *columns: forest(h, *columns, percent))
+    return stage(links.select("a", "b"), "links")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -274,21 +417,21 @@ def ngram_join(df: DataFrame, words: int = 4, percent: int = 85, id_col: str = "
     heavy = np.sort(np.array([r[0] for r in frequent.select("id").collect()], np.int64).view(np.uint64))  # HEAVY rows at most
 
     prefixes = _prefixes(docs, words, percent, heavy).join(reps.select(F.col("rep").alias("id"), "n", "k1", "k2"), ["id", "n", "k1", "k2"], "left_semi")
-    prefixes = stage(prefixes.select(F.col("id").alias("node"), F.col("n").alias("size"), "prefix", "bits"), "prefixes")
+    prefixes = stage(prefixes.select(F.col("id").alias("node"), F.col("n").alias("size"), "prefix", "rare", "bits"), "prefixes")
+    members = prefixes.select(F.posexplode("prefix").alias("pos", "h"), "node", "size", "rare")
+    # a rare member's rows without a neighbour of fitting size open no tile; frequent members' rows, few of them, stay
     by_size = Window.partitionBy("h").orderBy("size", "node")
-    members = prefixes.select(F.explode("prefix").alias("h"), "node", "size")
-    members = members.withColumn("prev", F.lag("size").over(by_size)).withColumn("next", F.lead("size").over(by_size))
-    tiles = stage(members.where((100 * F.col("prev") >= percent * F.col("size")) | (100 * F.col("size") >= percent * F.col("next"))).select("h", "node"), "tiles")
-    hot = stage(tiles.groupBy("h").count().where(F.col("count") > TILE).select("h", F.ceil(F.col("count") / TILE).cast("int").alias("blocks")), "hot")
-    tiles = tiles.join(prefixes.select("node", "size", "bits"), "node")
+    rare = members.where("pos < rare").withColumn("prev", F.lag("size").over(by_size)).withColumn("next", F.lead("size").over(by_size))
+    rare = rare.where((100 * F.col("prev") >= percent * F.col("size")) | (100 * F.col("size") >= percent * F.col("next")))
+    tiles = stage(rare.select("h", "node", "size").unionAll(members.where("pos >= rare").select("h", "node", "size")), "tiles")
 
-    best = stage(_tile_pairs(tiles.withColumn("class", F.col("node")), hot, percent, True), "pairs")
+    best = stage(_best_pairs(tiles, prefixes, percent), "pairs")
     wanted = stage(best.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     sets = stage(_sets(docs.join(wanted, "id", "left_semi"), words), "members")
     links = _verified(best, sets, percent)
-    so_far = stage(wanted.withColumnRenamed("id", "node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("class")), "so-far")
-    rest = _tile_pairs(tiles.join(so_far, "node"), hot, percent, False)
-    more = _verified(stage(rest.join(best, ["a", "b"], "left_anti"), "pairs"), sets, percent)
+    so_far = components(links)
+    classed = tiles.join(so_far, "node", "left").select("h", "node", "size", F.coalesce("component", "node").alias("class"))
+    more = _forest_links(stage(classed, "classed"), prefixes, docs, words, percent)
     final = components(links.unionAll(more))
 
     classes = stage(reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component")), "classes")

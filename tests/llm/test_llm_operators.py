@@ -151,14 +151,39 @@ def test_ngram_join(docs, empty, spark, k, percent):
     assert ngram_join.ngram_join(empty, k, percent).count() == 0
 
 
-def test_ngram_join_with_large_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("noise, members", [(0.03, 10**6), (0.045, 700)])
+def test_ngram_join_with_large_tiles(spark, monkeypatch, noise, members):
+    """Near copies of one text, most pairs linked or most of them just under the threshold, over several blocks and cells."""
     monkeypatch.setattr(ngram_join, "TILE", 8)
+    monkeypatch.setattr(ngram_join, "MEMBERS", members)
     monkeypatch.setattr(ngram_join, "HEAVY_LEAST", 2)
-    texts = {i: " ".join(w if RNG.random() > 0.03 else RNG.choice(WORDS) for w in BASE.split(" ")) for i in range(60)}
+    texts = {i: " ".join(w if RNG.random() > noise * (1 if i % 3 else 0.4) else RNG.choice(WORDS) for w in BASE.split(" ")) for i in range(70)}
     got = rows(ngram_join.ngram_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), 4, 85))
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == links_of(texts, 4, 85)
 
 
+def test_forest_of_a_tile():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(np.concatenate([np.arange(50, dtype=np.uint64)[rng.random(50) > 0.08], rng.integers(100, 10**6, 3).astype(np.uint64)])) for _ in range(60)]
+    sets.sort(key=len)
+    at = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(60) for j in range(i)}
+    over = ngram_join.Overlaps(sets)
+    assert all(over.of(np.array([i]), np.array([j]))[0] == n for (i, j), n in at.items())
+    linked = {(i, j) for (i, j), n in at.items() if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n)}
+    ids, sizes, same = list(range(60)), [len(s) for s in sets], [0] * 60
+    bits, members = [ngram_join.bitmap(s) for s in sets], [s.tobytes() for s in sets]
+    a, b = ngram_join.forest(5, ids, sizes, ids, same, bits, [[5]] * 60, members, 85)
+    root = ids[:]
+    for i, j in linked:
+        root = [root[i] if r == root[j] else r for r in root]
+    mine = ids[:]
+    for i, j in zip(a.tolist(), b.tolist()):
+        assert (max(i, j), min(i, j)) in linked
+        mine = [mine[i] if r == mine[j] else r for r in mine]
+    assert len(a) == 60 - len(set(root)) and len({(x, y) for x, y in zip(root, mine)}) == len(set(root))
+    assert not len(ngram_join.forest(5, ids, sizes, ids, same, bits, [[3, 5]] * 60, members, 85)[0])  # those are tile 3's
+
+
 def test_embedding_dedup(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((300, 16))
