@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import mix
-from .tokens import text_slices
+from .staging import free_name, quoted
+from .tokens import keep, slices
 
 START, END = 2, 3
 _W = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
-_SCORERS: dict[str, "Scorer"] = {}
 
 
 def letter_runs(text: str) -> list[str]:
@@ -113,7 +114,7 @@ def fit(samples: dict[str, list[str]], order: int = 4, discount: float = 0.75) -
 class Scorer:
     """Scores texts; remembers at most max_words chunks' sums, then starts anew."""
 
-    def __init__(self, model: Model, max_words: int = 500_000):
+    def __init__(self, model: Model, max_words: int = 250_000):
         self.model, self.max_words = model, max_words
         self.known: dict[str, int] = {}
         self.sums = np.zeros((0, len(model.languages) + 1))
@@ -186,11 +187,17 @@ class Scorer:
         return [m.languages[k] if x else "und" for k, x in zip(pick, n)], np.where(n > 0, score, 0.0).tolist(), rejected.tolist()
 
 
-def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int, most_bytes: int) -> dict[str, list[str]]:
-    """About docs_per_language labelled texts of a language, chosen by a hash of the id; longer than most_bytes none."""
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("text is not null and lang is not null")
+def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int, most_bytes: int, most_languages: int = 256) -> dict[str, list[str]]:
+    """About docs_per_language labelled texts of a language, chosen by a hash of the id; longer than most_bytes none.
+
+    More than most_languages languages raise an error: the models' size is in proportion to their number.
+    """
+    rows = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), F.col(quoted(lang_col)).alias("lang")).where("text is not null and lang is not null")
     rows = rows.where(F.octet_length("text") <= most_bytes)
-    many = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256)  # languages, a bounded list
+    many = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages + 1).collect()
+    if len(many) > most_languages:
+        raise ValueError(f"over {most_languages} languages; give a larger most_languages")
+    many = df.sparkSession.createDataFrame(many, "lang string, count long")
     share = many.select("lang", (F.lit(float(docs_per_language)) / F.col("count")).alias("share"))
     chosen = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.col("share") * float(1 << 30))
     out: dict[str, list[str]] = {}
@@ -199,37 +206,40 @@ def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, do
     return out
 
 
-def identify(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, docs_per_language: int = 400, most_bytes: int = 65_536) -> DataFrame:
-    """df's rows with lang_pred, score and rejected added.
+def language_column(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, docs_per_language: int = 400, most_bytes: int = 65_536, most_languages: int = 256):
+    """A function of a text column that gives struct<lang_pred: string, score: double, rejected: boolean>.
 
     train holds labelled rows; the models are fitted on a sample of about docs_per_language whole texts a language, none
-    longer than most_bytes, whose size does not grow with the input. A null text or one without letters is ``und``, score
-    0, rejected. Ties go to the first language in order of name. Without labelled rows every text is ``und``. Predictions
-    use the text alone; repeated rows get equal answers; whole texts count, however long.
+    longer than most_bytes, of most_languages languages at most, so its size does not grow with the input. A null text or
+    one without letters is ``und``, score 0, rejected. Ties go to the first language in order of name. Without labelled
+    rows every text is ``und``. Predictions use the text alone: only that column reaches Python; whole texts count.
     """
-    samples = training_sample(train, id_col, text_col, lang_col, docs_per_language, most_bytes)
-    model, name = df.sparkSession.sparkContext.broadcast(fit(samples, order)) if samples else None, uuid.uuid4().hex
-    at = df.columns.index(text_col)
-    added = ("lang_pred", "score", "rejected")
-    kept = [c for c in df.columns if c not in added]
+    samples = training_sample(train, id_col, text_col, lang_col, docs_per_language, most_bytes, most_languages)
+    model, name = train.sparkSession.sparkContext.broadcast(fit(samples, order)) if samples else None, uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = keep(("scorer", name), lambda: Scorer(model.value)) if model else None
+        for column in batches:
+            parts = []
+            for at in range(0, len(column), 512):
+                texts = [t or "" for t in column.slice(at, 512).to_pylist()]
+                for a, b in slices(texts):
+                    parts.append(scorer.predict(texts[a:b]) if scorer else (["und"] * (b - a), [0.0] * (b - a), [True] * (b - a)))
+            found = [sum(map(list, x), []) for x in zip(*parts)] if parts else [[], [], []]
+            yield pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.string(), pa.float64(), pa.bool_()))], names=["lang_pred", "score", "rejected"])
 
-    def run(batches):
-        if model and name not in _SCORERS:  # kept from task to task
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(model.value)
-        scorer = _SCORERS.get(name)
-        for batch in batches:
-            for a, texts in text_slices(batch, at):
-                found = scorer.predict(texts) if scorer else (["und"] * len(texts), [0.0] * len(texts), [True] * len(texts))
-                part = batch.slice(a, len(texts))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(x, t) for x, t in zip(found, (pa.string(), pa.float64(), pa.bool_())))], names=[*kept, *added])
+    return F.arrow_udf(run, "lang_pred string, score double, rejected boolean")
 
-    from pyspark.sql import types as T
 
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return df.mapInArrow(run, schema)
+def identify(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds) -> DataFrame:
+    """df's rows with lang_pred, score and rejected added, as language_column says; df's own columns of these names go."""
+    found = language_column(train, id_col, text_col, lang_col, **bounds)(F.col(quoted(text_col)))
+    kept = [c for c in df.columns if c.lower() not in ("lang_pred", "score", "rejected")]
+    name = free_name(df, "found")
+    rows = df.withColumn(name, found)
+    return rows.select(*[F.col(quoted(c)) for c in kept], *[F.col(f"{quoted(name)}.{c}").alias(c) for c in ("lang_pred", "score", "rejected")])
 
 
 def held_out(id_col: str = "doc_id"):
     """crc32 of the id as text, modulo 4, is 2."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(F.col(quoted(id_col)).cast("string").cast("binary")) % 4 == 2, F.lit(False))

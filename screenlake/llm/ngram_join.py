@@ -9,9 +9,11 @@ Inside a tile, pairs in a band of sizes are compared by signatures: the parity o
 bits or as many as members; n1 + n2 less the differing bits, halved, is no less than the overlap. Pairs never leave a tile
 in number: in round one each document names its best partner in its tile, or in its block of a large tile, and those that
 the exact intersection confirms make classes. A tile's smallest document goes to all its blocks, so that a large group of
-near copies hangs together. In round two only tiles of several classes are looked at, and all their pairs of different
-classes count: a document that passes with any of them is sent its members, the sorted arrays are intersected in the tile
-itself, in the first of the tiles that a pair shares, and a spanning forest of the confirmed links leaves it.
+near copies hangs together. In round two only documents that passed with another one, and tiles of several classes, are
+looked at, and all their pairs of different classes count: a document that passes with any of them is sent its members, the
+sorted arrays are intersected in the tile itself, in the first of the tiles that a pair shares, and a spanning forest of the
+confirmed links leaves it. Members are sent to few of the tiles that a pair shares: a document brings the first members of
+its prefix along, and a pair that has one of them in common was met in that member's tile.
 
 A large tile of round two is cut into cells: blocks of its largest class against blocks of the others, and blocks of the
 others against each other. The largest class never meets itself, so a group of near copies makes no square of its size.
@@ -27,12 +29,14 @@ from pyspark.sql import functions as F
 from .components import components
 from .kernels import mix, shingle_sets
 from .staging import drop_staged, shuffle_partitions, stage
-from .tokens import text_slices
+from .tokens import release, text_slices
 
 #: At most so many frequent shingles are put last, and a partition names at most so many.
 HEAVY, HEAVY_OF_PARTITION, HEAVY_LEAST = 32_768, 8_192, 8
 #: Rows, and members of their sets, of a tile that one task compares at once.
 TILE, MEMBERS = 4_096, 1_000_000
+#: Members of its prefix that a document brings to a tile.
+HEAD = 8
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -87,6 +91,7 @@ def _documents(df: DataFrame, words: int) -> DataFrame:
     """kind 0: (id, n, k1, k2) of every document; kind 1: (id: a shingle, n: its count) of a partition's frequent ones."""
 
     def run(batches):
+        release()
         seen, counts, waiting = [], [], 0
         for batch in batches:
             for at, texts in text_slices(batch, 1):
@@ -257,24 +262,41 @@ def _best(nodes, sizes, sides, bits, percent: int):
     return ids[found], partner[found]
 
 
-def _live(nodes, sizes, classes, sides, bits, percent: int):
-    """Rows that pass with some row of another class, as an array of node ids."""
-    found = np.zeros(len(nodes), bool)
+def _met_before(heads: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j share one of their first members that lies before the tile's own in their prefixes (place at)."""
+    out = np.zeros(len(i), bool)
+    for a in range(0, len(i), 50_000):
+        x, y = i[a : a + 50_000], j[a : a + 50_000]
+        mine = np.where(np.arange(heads.shape[1]) < at[x][:, None], heads[x], -1)
+        same = (mine[:, :, None] == heads[y][:, None, :]) & (mine != -1)[:, :, None]
+        out[a : a + 50_000] = same.any(axis=(1, 2))
+    return out
+
+
+def _live(nodes, sizes, classes, sides, bits, at, heads, percent: int):
+    """Rows that pass with some row of another class, unless they met before, as an array of node ids."""
+    found, place, first = np.zeros(len(nodes), bool), np.array(at, np.int64), None
     for i, j, _ in passing(nodes, sizes, classes, sides, bits, percent):
-        found[i] = found[j] = True
+        if first is None:
+            first = np.full((len(nodes), HEAD), -2, np.int64)
+            for k, h in enumerate(heads):
+                first[k, : len(h)] = h
+        new = ~_met_before(first, place, i, j)
+        found[i[new]] = found[j[new]] = True
     ids = np.unique(np.array(nodes, np.int64)[found])
     return ids, ids
 
 
-def forest(h: int, nodes, sizes, classes, sides, bits, prefixes, members, percent: int):
+def forest(nodes, sizes, classes, sides, bits, at, prefixes, members, percent: int):
     """Links (arrays of node ids) that join the rows' classes, each confirmed by the exact intersection.
 
-    A pair is looked at in the least of the prefix members that both share, so in one tile only.
+    A pair is looked at in the first of the prefix members that both share, so in one tile only; at: the tile's own
+    member's place in each prefix.
     """
     n, ids = np.array(sizes, np.int64), np.array(nodes, np.int64)
     _, label = np.unique(np.array(classes, np.int64), return_inverse=True)
     whole = Overlaps([np.frombuffer(m, np.uint64) for m in members])
-    before = Overlaps([np.sort(p[p < h]) for p in (np.array(p, np.int64) for p in prefixes)])
+    before = Overlaps([np.sort(np.array(p[:k], np.int64)) for k, p in zip(at, prefixes)])
     out: list[tuple[int, int]] = []
     for i, j, _ in passing(nodes, sizes, classes, sides, bits, percent):
         for a in range(0, len(i), 20_000):
@@ -294,7 +316,7 @@ def forest(h: int, nodes, sizes, classes, sides, bits, prefixes, members, percen
 
 
 def _in_cells(rows: DataFrame, keys: list[str], columns: list[str], of) -> DataFrame:
-    """of(first key, *columns) -> (a, b) arrays, over each cell's rows in order of size."""
+    """of(*columns) -> (a, b) arrays, over each cell's rows in order of size; h is the first key."""
     n, width = shuffle_partitions(rows.sparkSession), len(keys)
 
     def run(batches):
@@ -309,7 +331,7 @@ def _in_cells(rows: DataFrame, keys: list[str], columns: list[str], of) -> DataF
         def done():
             nonlocal waiting
             if len(cell) > 1:
-                found = of(key[0], *zip(*cell))
+                found = of(*zip(*cell))
                 if len(found[0]):
                     out.append(found)
                     of_h.append(np.full(len(found[0]), key[0], np.int64))
@@ -333,18 +355,22 @@ def _in_cells(rows: DataFrame, keys: list[str], columns: list[str], of) -> DataF
     return dealt.mapInArrow(run, "a long, b long, h long")
 
 
-def _best_pairs(tiles: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+def _large_tiles(tiles: DataFrame) -> DataFrame:
+    large = tiles.groupBy("h").agg(F.count("*").alias("rows"), F.min("node").alias("first")).where(F.col("rows") > TILE)
+    return stage(large.select("h", "first", F.ceil(F.col("rows") / TILE).cast("int").alias("blocks")), "hot")
+
+
+def _best_pairs(tiles: DataFrame, hot: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Round one: pairs (a, b) of nodes and their best partners in a block of a tile of (h, node, size)."""
-    hot = stage(tiles.groupBy("h").agg(F.count("*").alias("rows"), F.min("node").alias("first")).where(F.col("rows") > TILE).select("h", "first", F.ceil(F.col("rows") / TILE).cast("int").alias("blocks")), "hot")
     dealt = tiles.join(hot, "h", "left")
     own = F.pmod(F.xxhash64("h", "node"), F.coalesce("blocks", F.lit(1))).cast("int")
     dealt = dealt.withColumn("block", F.explode(F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
     dealt = dealt.select("h", "block", "node", "size").join(prefixes.select("node", "bits"), "node")
-    return _in_cells(dealt, ["h", "block"], ["node", "size", "bits"], lambda h, nodes, sizes, bits: _best(nodes, sizes, [0] * len(nodes), bits, percent)).select("a", "b").distinct()
+    return _in_cells(dealt, ["h", "block"], ["node", "size", "bits"], lambda nodes, sizes, bits: _best(nodes, sizes, [0] * len(nodes), bits, percent)).select("a", "b").distinct()
 
 
 def _cells(tiles: DataFrame, most_rows: int, most_members: int) -> DataFrame:
-    """(h, kind, one, two, side, node, size, class) of tiles of several classes; a row comes once in each of its cells.
+    """(h, kind, one, two, side, at, node, size, class) of tiles of several classes; a row comes once in each of its cells.
 
     Kind 0: a small tile whole. Kind 1: a block of the largest class against a block of the others. Kind 2: two blocks of
     the others. In each two rows of different sides meet, and in side 0 all rows.
@@ -369,21 +395,22 @@ def _cells(tiles: DataFrame, most_rows: int, most_members: int) -> DataFrame:
     among = F.transform(F.sequence(zero, F.col("n_rest") - 1), lambda c: cell(2, F.least(block, c), F.greatest(block, c), F.when(block == c, 0).otherwise(block + 1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("h", "node"), F.when(main, F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
     dealt = dealt.withColumn("cell", F.explode(F.when(~F.col("big"), F.array(cell(0, zero, zero, zero))).when(main, to_rest).otherwise(F.concat(to_main, among))))
-    return dealt.select("h", "cell.*", "node", "size", "class")
+    return dealt.select("h", "cell.*", "at", "node", "size", "class")
 
 
 def _forest_links(tiles: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Round two: confirmed links (a, b) between the classes of tiles (h, node, size, class)."""
+    """Round two: confirmed links (a, b) between the classes of tiles (h, at, node, size, class)."""
     keys = ["h", "kind", "one", "two"]
-    cells = _cells(tiles, TILE, 1 << 62).join(prefixes.select("node", "bits"), "node")
-    live = _in_cells(cells, keys, ["node", "size", "class", "side", "bits"], lambda h, nodes, sizes, classes, sides, bits: _live(nodes, sizes, classes, sides, bits, percent))
+    cells = _cells(tiles, TILE, 1 << 62).join(prefixes.select("node", "bits", F.slice("prefix", 1, HEAD).alias("head")), "node")
+    live = _in_cells(cells, keys, ["node", "size", "class", "side", "bits", "at", "head"], lambda *columns: _live(*columns, percent))
     live = stage(live.select("h", F.col("a").alias("node")).distinct(), "live")
-    live = stage(live.join(tiles, ["h", "node"]).select("h", "node", "size", "class"), "live")
-    sets = stage(_sets(docs.join(live.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), words), "members")
-    sets = sets.select(F.col("id").alias("node"), F.col("n").alias("size"), "members").distinct()
+    live = stage(live.join(tiles, ["h", "node"]).select("h", "at", "node", "size", "class"), "live")
+    sets = _sets(docs.join(live.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), words)
+    sets = stage(sets.select(F.col("id").alias("node"), F.col("n").alias("size"), "members"), "members")
     exact = _cells(live, TILE, MEMBERS).join(prefixes.select("node", "bits", "prefix"), "node").join(sets, ["node", "size"])
-    links = _in_cells(exact, keys, ["node", "size", "class", "side", "bits", "prefix", "members"], lambda h, *columns: forest(h, *columns, percent))
-    return stage(links.select("a", "b"), "links")
+    links = stage(_in_cells(exact, keys, ["node", "size", "class", "side", "bits", "at", "prefix", "members"], lambda *columns: forest(*columns, percent)).select("a", "b"), "links")
+    drop_staged(sets)
+    return links
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -423,18 +450,23 @@ def ngram_join(df: DataFrame, words: int = 4, percent: int = 85, id_col: str = "
     by_size = Window.partitionBy("h").orderBy("size", "node")
     rare = members.where("pos < rare").withColumn("prev", F.lag("size").over(by_size)).withColumn("next", F.lead("size").over(by_size))
     rare = rare.where((100 * F.col("prev") >= percent * F.col("size")) | (100 * F.col("size") >= percent * F.col("next")))
-    tiles = stage(rare.select("h", "node", "size").unionAll(members.where("pos >= rare").select("h", "node", "size")), "tiles")
+    wide = ["h", F.col("pos").alias("at"), "node", "size"]
+    tiles = stage(rare.select(*wide).unionAll(members.where("pos >= rare").select(*wide)), "tiles")
 
-    best = stage(_best_pairs(tiles, prefixes, percent), "pairs")
+    hot = _large_tiles(tiles)
+    best = stage(_best_pairs(tiles, hot, prefixes, percent), "pairs")
     wanted = stage(best.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     sets = stage(_sets(docs.join(wanted, "id", "left_semi"), words), "members")
     links = _verified(best, sets, percent)
-    so_far = components(links)
-    classed = tiles.join(so_far, "node", "left").select("h", "node", "size", F.coalesce("component", "node").alias("class"))
-    more = _forest_links(stage(classed, "classed"), prefixes, docs, words, percent)
+    drop_staged(sets)
+    # who passed with nobody in round one can do so only across the blocks of a large tile
+    open_ = wanted.select(F.col("id").alias("node")).unionAll(tiles.join(hot, "h", "left_semi").select("node")).distinct()
+    so_far = open_.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("class"))
+    classed = stage(tiles.join(so_far, "node").select("h", "at", "node", "size", "class"), "classed")
+    more = _forest_links(classed, prefixes, docs, words, percent)
     final = components(links.unionAll(more))
 
     classes = stage(reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component")), "classes")
-    for done in (prefixes, sets):
+    for done in (prefixes, tiles, classed, best, wanted):
         drop_staged(done)
     return rows.join(classes, ["n", "k1", "k2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))

@@ -20,21 +20,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import mix, powers
-from .tokens import text_slices
+from .tokens import keep, text_slices
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
-_MODELS: dict[tuple, "PieceLattice"] = {}
 
 
 def lattice(path: str, n: int) -> "PieceLattice":
-    if (path, n) not in _MODELS:
+    def make() -> "PieceLattice":
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [(sp.id_to_piece(i), sp.get_score(i), sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(sp.get_piece_size())]
-        _MODELS[path, n] = PieceLattice(pieces, n)
-    return _MODELS[path, n]
+        return PieceLattice(pieces, n)
+
+    return keep(("pieces", path, n), make)
 
 
 def _prefix_rows(codes: np.ndarray) -> np.ndarray:

@@ -16,6 +16,7 @@ A phrase that repeats within a task is settled in the task, so a copied text sen
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import mix, prefix_sums, range_hashes
-from .staging import drop_staged, shuffle_partitions, stage
+from .staging import drop_staged, free_name, quoted, shuffle_partitions, stage
+from .tokens import release
 
 #: Bytes of the strings whose hashes set triggers; a window has length - TRIGGER + 1 of them.
 TRIGGER = 24
@@ -132,6 +134,7 @@ def _parse(docs: DataFrame, length: int) -> DataFrame:
     """The parse. settled: an equal phrase comes earlier in the same task; such rows are dealt anywhere."""
 
     def run(batches):
+        release()
         waiting, n_waiting = [], 0
 
         def settle():
@@ -337,18 +340,26 @@ def without_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", te
     n_chars, if there is one, is the new text's length.
     """
     docs, marks = _with_marks(df, id_col, text_col, length)
-    own = df.withColumn("__id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)))).withColumn("__version", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    marks = marks.select(F.col("id").alias("__id"), F.col("version").alias("__version"), F.col("marks").alias("__marks"))
-    joined = own.join(marks, ["__id", "__version"], "left").select(*[F.col(f"`{c}`") for c in df.columns], "__marks")
-    at, schema = df.columns.index(text_col), df.schema
-
-    def run(batches):
-        for batch in batches:
-            texts, found = batch.column(at), batch.column(len(schema))
-            new = [t.as_py() if not m.is_valid or not t.is_valid else kept_text(raw := t.as_py().encode(), _covered(len(raw), m.as_py(), length)) for t, m in zip(texts, found)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if k == at else batch.column(k) for k in range(len(schema))], names=schema.names)
-
-    out = joined.mapInArrow(run, schema)
-    if "n_chars" in df.columns and dict(df.dtypes)["n_chars"] in ("bigint", "int"):
-        out = out.withColumn("n_chars", F.length(f"`{text_col}`").cast(dict(df.dtypes)["n_chars"]))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    key, version, found = (free_name(df, c) for c in ("id_of_text", "version_of_text", "marks_of_text"))
+    text = F.col(quoted(text_col))
+    own = df.withColumn(key, F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(-(2**63)))).withColumn(version, F.xxhash64(F.coalesce(text, F.lit(""))))
+    joined = own.join(marks.select(F.col("id").alias(key), F.col("version").alias(version), F.col("marks").alias(found)), [key, version], "left")
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, of_texts in batches:
+            yield pa.array([t.as_py() if not m.is_valid or not t.is_valid else kept_text(raw := t.as_py().encode(), _covered(len(raw), m.as_py(), length)) for t, m in zip(texts, of_texts)], pa.string())
+
+    new = free_name(df, "kept_of_text")
+    # only marked texts go to Python
+    cut = F.arrow_udf(run, "string")(F.when(F.col(found).isNotNull(), text), F.col(found))
+    out = joined.withColumn(new, F.coalesce(cut, text))
+    types = dict(df.dtypes)
+
+    def column(c: str):
+        if c == text_col:
+            return F.col(new).alias(c)
+        if c == "n_chars" and types[c] in ("bigint", "int"):
+            return F.length(new).cast(types[c]).alias(c)
+        return F.col(quoted(c))
+
+    return out.select(*map(column, df.columns))

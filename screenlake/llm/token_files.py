@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import new_folder, shuffle_partitions, stage
+from .staging import made_folder, shuffle_partitions, stage
 from .tokens import encoder, text_slices
 
 MAGIC = b"SLTOKEN1"
@@ -219,6 +219,6 @@ def token_round_trip(df: DataFrame, tokenizer: str, end_id: int | None, id_col:
     Null and empty texts hold the end id alone. Rows that repeat an id follow each other in any order. An empty table
     writes no file. Texts are encoded whole.
     """
-    folder = new_folder(df.sparkSession, "tokens")
+    folder = made_folder(df.sparkSession, "tokens")
     back = read_token_files(write_token_files(df, folder, tokenizer, end_id, id_col, text_col))
     return back.select(F.col("id").alias(id_col), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")

@@ -16,7 +16,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: A space that must not be cut at: at the start, or after white space.
 _ODD = re.compile(r"(?:^|\s) ")
 _CUT = re.compile(r"(?<=\S) ")
-_ENCODERS: dict[tuple, "Encoder"] = {}
+_KEPT: dict[tuple, object] = {}
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -25,11 +25,22 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def keep(key: tuple, make):
+    """make(), kept in this worker from task to task until another key is asked for: one memory a worker at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Forget what an earlier stage kept in this worker."""
+    _KEPT.clear()
+
+
 def encoder(path: str) -> "Encoder":
     """One encoder a worker and path, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return keep(("encoder", path), lambda: Encoder(path))
 
 
 class Encoder:

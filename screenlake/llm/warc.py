@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import new_folder, shuffle_partitions, stage
+from .staging import made_folder, shuffle_partitions, stage
 from .token_files import _open
 
 CHUNK = 1 << 16
@@ -169,5 +169,5 @@ def warc_round_trip(df: DataFrame, id_col: str = "page_id", url_col: str = "url"
     A null html is an empty payload; a null url has no target header. Rows that repeat an id and payload are all responses
     if theirs is the largest id. Rows without an id are revisits of an equal payload with one. Empty tables write no file.
     """
-    folder = new_folder(df.sparkSession, "warc")
+    folder = made_folder(df.sparkSession, "warc")
     return read_warc(write_warc(df, folder, id_col, url_col, html_col, least_bytes)).withColumnRenamed("id", id_col)
