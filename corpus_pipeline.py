@@ -1,9 +1,9 @@
 """A training corpus in five stages: language ID, exact dedup, near-duplicate removal, repeated passages, packing.
 
 Every stage reads documents, decides on each of them, and hands on documents with the same columns; the last one returns
-the packed pieces. A null or empty text reaches stage one only, which rejects texts without letters. An empty table passes
-through. Rows that share an id are kept or dropped together, except that of rows equal in id and text all stay in exact
-dedup. Further columns, whatever their names, are carried along by all stages but the last.
+the packed pieces. Further columns, whatever their names, are carried along by all stages but the last and never reach
+Python. An empty table passes through every stage. Rows that share an id are kept or dropped together, except that of rows
+equal in id and text all stay in exact dedup.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from screenlake.llm.exact_dedup import exact_dedup
-from screenlake.llm.language_id import held_out, identify
+from screenlake.llm.language_id import held_out, language_column
 from screenlake.llm.ngram_join import ngram_join
 from screenlake.llm.packing import pack_documents
 from screenlake.llm.repeats import without_repeats
-from screenlake.llm.staging import stage
+from screenlake.llm.staging import columns_of, free_name, stage
 from screenlake.llm.tokens import tokenizer_path
 from screenlake.shipping import ship
 
@@ -29,39 +30,54 @@ WINDOW, END_ID = 2048, 1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text reads as one of the learned languages; models learn from the labelled rows of three quarters."""
+    """Documents whose text reads as one of the learned languages; models learn from the labelled rows of three quarters.
+
+    Rejected: null and empty texts, texts without letters, and texts far above the calibrated cross-entropy. A document
+    without an id is judged like any other. Without labelled rows nothing is learned and every document is rejected.
+    """
     ship(spark)
-    narrow = docs.select("doc_id", "text", "lang").withColumn("held_out", held_out())
-    found = identify(docs.select("*"), narrow.where("not held_out").select("doc_id", "text", "lang"))
-    return found.where("not rejected").select(docs.columns)
+    train = docs.where(~held_out()).select("doc_id", "text", "lang")
+    found = free_name(docs, "language")
+    judged = docs.withColumn(found, language_column(train)(F.col("text")))
+    return judged.where(~F.col(f"{found}.rejected")).select(*columns_of(docs))
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """docs whose doc_id is among kept's; documents without an id stay."""
     ids = stage(kept.select("doc_id").where("doc_id is not null").distinct(), "kept")
-    return docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").select(docs.columns).unionAll(docs.where("doc_id is null"))
+    return docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").select(*columns_of(docs)).unionAll(docs.where("doc_id is null"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, the one with the smallest id."""
+    """Of documents with equal texts, the one with the smallest id.
+
+    Null and empty texts are equal to each other, so one of them stays. Ties of id stay together.
+    """
     ship(spark)
     return _only(docs, exact_dedup(docs.select("doc_id", "text")).where("kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by near-duplicate links, the one with the smallest id."""
+    """Of documents joined by near-duplicate links, the one with the smallest id.
+
+    Null and empty texts have no shingles, link with nothing and stay. Very long texts count whole.
+    """
     ship(spark)
     return _only(docs, ngram_join(docs.select("doc_id", "text"), WORDS, PERCENT).where("component_id = doc_id"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that come earlier in the corpus too."""
+    """Documents without the passages that come earlier in the corpus too; every document stays, if with an empty text.
+
+    A null text stays null. Documents without an id come first in the corpus; rows equal in id and text are one place, so
+    neither is cut for the other. n_chars, if there is such a column of integers, is counted anew.
+    """
     ship(spark)
     return without_repeats(docs, PASSAGE)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of ids."""
+    """The pieces of all documents in windows of ids; a null or empty text is its end id alone, repeated rows are packed each."""
     ship(spark)
     return pack_documents(docs.select("doc_id", "text"), tokenizer_path(), WINDOW, END_ID)
 
