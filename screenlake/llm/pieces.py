@@ -37,18 +37,20 @@ def lattice(path: str, n: int) -> "PieceLattice":
     return keep(("pieces", path, n), make)
 
 
-def _prefix_rows(codes: np.ndarray) -> np.ndarray:
-    out = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
-    np.cumsum(mix(codes + np.uint64(1)) * powers(codes.shape[1])[0], axis=1, out=out[:, 1:])
+def _prefix_columns(codes: np.ndarray) -> np.ndarray:
+    """Of words of one length as columns: hashes' running sums over their characters."""
+    out = np.zeros((codes.shape[0] + 1, codes.shape[1]), np.uint64)
+    np.cumsum(mix(codes + np.uint64(1)) * powers(codes.shape[0])[0][:, None], axis=0, out=out[1:])
     return out
 
 
-def _range_rows(sums: np.ndarray, a: int, b: int) -> np.ndarray:
-    return mix((sums[:, b] - sums[:, a]) * powers(a + 1)[1][a] + np.uint64(b - a))
+def _range_keys(sums: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Hashes of characters a to b - 1 of every word; they depend on the characters alone."""
+    return (sums[b] - sums[a]) * powers(a + 1)[1][a]
 
 
-def _hash_rows(codes: np.ndarray) -> np.ndarray:
-    return _range_rows(_prefix_rows(codes), 0, codes.shape[1])
+def _key(text: str) -> int:
+    return int(_range_keys(_prefix_columns(np.array([[ord(c)] for c in text], np.uint64)), 0, len(text))[0])
 
 
 class PieceLattice:
@@ -66,9 +68,11 @@ class PieceLattice:
         self.vocab = {p: (i, s) for p, i, s in spelled}
         self.scores = [s for _, s, _ in pieces]
         self.longest = max((len(p) for p in self.vocab), default=1)
-        spelled = sorted((int(_hash_rows(np.array([[ord(c) for c in p]], np.uint64))[0]), i, s) for p, (i, s) in self.vocab.items())
+        spelled = sorted((_key(p), i, s) for p, (i, s) in self.vocab.items())
         self.hashes = np.array([x[0] for x in spelled], np.uint64)
         self.piece_ids, self.piece_scores = np.array([x[1] for x in spelled], np.int64), np.array([x[2] for x in spelled], np.float64)
+        self.some = np.zeros(1 << 22, bool)  # which top bits any piece's hash has
+        self.some[self.hashes >> np.uint64(42)] = True
         self.known: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
         self.lists: dict[str, list] = {}
@@ -105,47 +109,57 @@ class PieceLattice:
             for a in range(0, len(group), step):
                 self._learn(group[a : a + step], size)
 
+    def _pieces_at(self, sums: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have a piece from a to b, and which piece, by place in the sorted hashes."""
+        keys = _range_keys(sums, a, b)
+        rows = np.flatnonzero(self.some[keys >> np.uint64(42)])
+        keys = keys[rows]
+        at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
+        hit = self.hashes[at] == keys
+        return rows[hit], at[hit]
+
     def _learn(self, group: list[str], size: int) -> None:
         """Forward and backward Viterbi over all words at once; the second best leaves the best by one edge at least."""
         m = len(group)
-        codes = np.frombuffer("".join(group).encode("utf-32-le"), "<u4").reshape(m, size).astype(np.uint64)
-        sums = _prefix_rows(codes)
-        edges: list[list[tuple]] = [[] for _ in range(size)]  # by start: (end, ids or -1, scores)
+        codes = np.ascontiguousarray(np.frombuffer("".join(group).encode("utf-32-le"), "<u4").reshape(m, size).T).astype(np.uint64)
+        sums = _prefix_columns(codes)
+        edges: list[list[tuple]] = [[] for _ in range(size)]  # by start: (end, words, ids or -1, scores)
         for a in range(size):
             for b in range(a + 1, min(size, a + self.longest) + 1):
-                h = _range_rows(sums, a, b)
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                hit = self.hashes[at] == h
-                if b == a + 1 or hit.any():
-                    edges[a].append((b, np.where(hit, self.piece_ids[at], -1), np.where(hit, self.piece_scores[at], -np.inf)))
-            b, ids, scores = edges[a][0]
-            for k in np.flatnonzero(ids < 0).tolist():  # spelled by bytes
-                scores[k] = sum(self.scores[self.bytes[c]] for c in group[k][a].encode())
-        best, came = np.full((m, size + 1), -np.inf), np.zeros((m, size + 1), np.int64)
-        best[:, 0] = 0.0
+                rows, at = self._pieces_at(sums, a, b)
+                if len(rows):
+                    edges[a].append((b, rows, self.piece_ids[at], self.piece_scores[at]))
+                if b == a + 1 and len(rows) < m:  # spelled by bytes
+                    rest = np.ones(m, bool)
+                    rest[rows] = False
+                    rest = np.flatnonzero(rest)
+                    edges[a].append((b, rest, np.full(len(rest), -1), np.array([sum(self.scores[self.bytes[c]] for c in group[k][a].encode()) for k in rest.tolist()])))
+        best, came = np.full((size + 1, m), -np.inf), np.zeros((size + 1, m), np.int64)
+        best[0] = 0.0
         for a in range(size):
-            for b, _, s in edges[a]:
-                t = best[:, a] + s
-                better = t > best[:, b]
-                best[better, b], came[better, b] = t[better], a
-        after, on = np.full((m, size), -1), np.zeros((m, size + 1), bool)
-        on[:, size] = True
+            for b, rows, _, s in edges[a]:
+                t = best[a, rows] + s
+                better = t > best[b, rows]
+                rows = rows[better]
+                best[b, rows], came[b, rows] = t[better], a
+        after, on = np.full((size, m), -1), np.zeros((size + 1, m), bool)
+        on[size] = True
         for b in range(size, 0, -1):
-            rows = np.flatnonzero(on[:, b])
-            on[rows, came[rows, b]] = True
-            after[rows, came[rows, b]] = b
-        back, total, gap = np.full((m, size + 1), -np.inf), best[:, size], np.full(m, np.inf)
-        back[:, size] = 0.0
-        chosen = np.full((m, size), -2)  # -2: no piece starts here, -1: bytes
-        with np.errstate(invalid="ignore"):
-            for a in range(size - 1, -1, -1):
-                for b, ids, s in edges[a]:
-                    t = s + back[:, b]
-                    back[:, a] = np.maximum(back[:, a], t)
-                    mine = after[:, a] == b
-                    chosen[mine, a] = ids[mine]
-                    g = total - best[:, a] - t
-                    gap = np.where(mine | ~(g < gap), gap, np.maximum(g, 0.0))
+            rows = np.flatnonzero(on[b])
+            on[came[b, rows], rows] = True
+            after[came[b, rows], rows] = b
+        back, total, gap = np.full((size + 1, m), -np.inf), best[size], np.full(m, np.inf)
+        back[size] = 0.0
+        chosen = np.full((size, m), -2)  # -2: no piece starts here, -1: bytes
+        for a in range(size - 1, -1, -1):
+            for b, rows, ids, s in edges[a]:
+                t = s + back[b, rows]
+                back[a, rows] = np.maximum(back[a, rows], t)
+                mine = after[a, rows] == b
+                chosen[a, rows[mine]] = ids[mine]
+                other = rows[~mine]
+                gap[other] = np.minimum(gap[other], np.maximum(total[other] - best[a, other] - t[~mine], 0.0))
+        chosen = np.ascontiguousarray(chosen.T)
         counts, flat = (chosen != -2).sum(axis=1), chosen[chosen != -2].astype("<u4").tobytes()
         ends = 4 * np.cumsum(counts)
         spelled = (chosen == -1).any(axis=1).tolist()
@@ -196,7 +210,7 @@ class PieceLattice:
             self.old, self.known = self.known, {}
             new = set().union(*texts)
         self.known.update((w, self.old[w]) for w in new if w in self.old)
-        self.learn(sorted(w for w in new if w not in self.old))
+        self.learn([w for w in new if w not in self.old])
 
     def encode(self, text: str) -> list[tuple[float, np.ndarray]]:
         words = self.words(text) if text else []

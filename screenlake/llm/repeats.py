@@ -7,8 +7,9 @@ the table of phrases as (trigger, fingerprint, document, place); the dictionary
 
 Of equal phrases all but the first in corpus order are repeats, window for window; copies and long passages end here, a
 row a phrase. Only phrases that share a trigger with a different phrase can share single windows: the beginnings and ends
-of passages. These enter the dictionary with their bytes, are dealt by trigger, and their suffixes at the places where
-windows start are ordered by trigger, window and corpus order; of equal neighbours all but the first are repeats.
+of passages. These enter the dictionary with their bytes, are dealt by trigger, and a suffix array of the dictionary, by
+prefix doubling up to the windows' length, orders the suffixes where windows start; equal neighbours are in corpus order, so
+all but the first are repeats, told by their bytes.
 
 A phrase that repeats within a task is settled in the task, so a copied text sends few rows to the shuffle.
 """
@@ -192,55 +193,69 @@ def _dictionary(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "trigger long, id long, version long, at int, bytes binary")
 
 
+def suffix_ranks(b: np.ndarray, length: int) -> np.ndarray:
+    """Rank of every suffix of b by its first ``length`` bytes (8 or more), as if zeros followed the end.
+
+    Prefix doubling: ranks by eight bytes, then by pairs of ranks of half the length; equal ranks are equal bytes.
+    """
+    padded = np.concatenate([b, np.zeros(length + 8, np.uint8)]).astype(np.uint64)
+    word = np.zeros(len(b) + length, np.uint64)
+    for k in range(8):
+        word = (word << np.uint64(8)) | padded[k : k + len(word)]
+    _, rank = np.unique(word, return_inverse=True)
+    have = 8
+    while have < length:
+        step = min(have, length - have)
+        pairs = rank[:-step].astype(np.int64) * (int(rank.max()) + 1) + rank[step:]
+        _, rank = np.unique(pairs, return_inverse=True)
+        have += step
+    return rank[: len(b)]
+
+
+def _windows_of(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of phrases one after the other: each window's phrase, place in it, and place among all bytes."""
+    n, starts = sizes - length + 1, np.cumsum(sizes) - sizes
+    phrase = np.repeat(np.arange(len(sizes)), n)
+    inner = np.arange(len(phrase)) - np.repeat(np.cumsum(n) - n, n)
+    return phrase, inner, starts[phrase] + inner
+
+
 def _shared_windows(dictionary: DataFrame, length: int) -> DataFrame:
     """(id, version, at, n): runs of windows that an earlier phrase of the same trigger also has.
 
-    Phrases come sorted by trigger, document and place, so a window's first occurrence is the first that comes by; of a
-    trigger with very many phrases only its windows' fingerprints stay in memory.
+    Phrases come sorted by trigger, document and place. The suffix array of a run of phrases, cut at the windows' length,
+    puts equal windows next to each other in corpus order, and all but the first are repeats. Of a trigger whose phrases go
+    on in the next run only its windows' fingerprints stay in memory.
     """
 
     def run(batches):
-        seen = np.empty(0, np.uint64)
-        of, last = None, None
+        release()
+        seen, of, last = np.empty(0, np.uint64), None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                part = batch.slice(at, 20_000)
+            for at in range(0, batch.num_rows, 5_000):
+                part = batch.slice(at, 5_000)
                 trigger, ids, versions, places = (part.column(k).to_numpy(zero_copy_only=False) for k in range(4))
                 raws = part.column(4).to_pylist()
                 b = np.frombuffer(b"".join(raws), np.uint8)
-                sizes = np.array([len(r) for r in raws], np.int64)
-                starts = np.cumsum(sizes) - sizes
-                n = sizes - length + 1
-                phrase = np.repeat(np.arange(len(raws)), n)
-                inner = np.arange(len(phrase)) - np.repeat(np.cumsum(n) - n, n)
-                hashes = np.empty(len(phrase), np.uint64)
-                a = 0
-                while a < len(raws):  # prefix sums over about a megabyte at a time
-                    e = max(a + 1, int(np.searchsorted(starts, starts[a] + BLOCK)))
-                    z = slice(int(np.searchsorted(phrase, a)), int(np.searchsorted(phrase, e)))
-                    sums = prefix_sums(b[starts[a] : starts[e] if e < len(raws) else len(b)])
-                    s = starts[phrase[z]] + inner[z] - starts[a]
-                    hashes[z] = range_hashes(sums, s, s + length)
-                    a = e
-                key = mix(hashes ^ (trigger[phrase].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-                if of != trigger[0]:
-                    seen = np.empty(0, np.uint64)
+                phrase, inner, start = _windows_of(np.array([len(r) for r in raws], np.int64), length)
+                ranks = suffix_ranks(b, length)[start]
+                order = np.argsort(ranks, kind="stable")  # the suffix array of the windows; equal ones in corpus order
+                repeat = np.zeros(len(ranks), bool)
+                repeat[order[1:]] = ranks[order[1:]] == ranks[order[:-1]]
                 # a row that repeats the row before whole is the same place, not a later one
                 same_place = np.zeros(len(raws), bool)
                 same_place[1:] = (trigger[1:] == trigger[:-1]) & (ids[1:] == ids[:-1]) & (versions[1:] == versions[:-1]) & (places[1:] == places[:-1])
                 same_place[0] = last == (trigger[0], ids[0], versions[0], places[0])
                 last = (trigger[-1], ids[-1], versions[-1], places[-1])
-                _, first = np.unique(key, return_index=True)
-                repeat = np.ones(len(key), bool)
-                repeat[first] = False
-                if len(seen):
-                    mine = trigger[phrase] == of
-                    repeat |= mine & np.isin(key, seen)
-                repeat &= ~same_place[phrase]
-                of = trigger[-1]
-                keep = key[(trigger[phrase] == of)]
-                seen = np.union1d(seen if trigger[0] == of else np.empty(0, np.uint64), keep)
-                hit = np.flatnonzero(repeat)
+                edge = (trigger[phrase] == of) | (trigger[phrase] == trigger[-1])  # of the triggers that other runs may share
+                marks = np.zeros(len(ranks), np.uint64)
+                if edge.any():
+                    marks[edge] = _fingerprints(b, start[edge], length)
+                if of == trigger[0] and len(seen):
+                    repeat |= (trigger[phrase] == of) & np.isin(marks, seen)
+                keep = marks[trigger[phrase] == trigger[-1]]
+                seen, of = np.union1d(seen, keep) if of == trigger[-1] else np.unique(keep), trigger[-1]
+                hit = np.flatnonzero(repeat & ~same_place[phrase])
                 if len(hit):
                     new = np.concatenate([[True], (np.diff(hit) != 1) | (phrase[hit[1:]] != phrase[hit[:-1]])])
                     lo = hit[new]
@@ -251,6 +266,17 @@ def _shared_windows(dictionary: DataFrame, length: int) -> DataFrame:
     return dictionary.mapInArrow(run, "id long, version long, at int, n int")
 
 
+def _fingerprints(b: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows at ascending places, over about a megabyte at a time."""
+    out, a = np.empty(len(starts), np.uint64), 0
+    while a < len(starts):
+        e = max(a + 1, int(np.searchsorted(starts, starts[a] + BLOCK)))
+        s = starts[a:e] - starts[a]
+        out[a:e] = range_hashes(prefix_sums(b[starts[a] : starts[e - 1] + length]), s, s + length)
+        a = e
+    return out
+
+
 def _by_document(rows: DataFrame, *what: str) -> DataFrame:
     return rows.groupBy("id", "version").agg(F.collect_list(F.struct(*what)).alias("marks"))
 
@@ -294,7 +320,8 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     is removed; overlaps count, matches end at a text's end, and strings are judged on the input. Null and short texts
     lose nothing beyond overlaps of themselves. Rows without an id come first in order; rows that share an id follow each
     other in the order of a hash of their texts, and rows that repeat an id and text are one place and get equal results.
-    Places are ints, so a text may have up to 2 GB. Equal windows are told by 64-bit hashes of trigger and window together.
+    Places are ints, so a text may have up to 2 GB. Equal phrases are told by hashes of 128 bits, equal windows by their bytes;
+    only a trigger with over 5,000 phrases has later ones compared with earlier runs by 64-bit hashes of their windows.
     """
     docs, marks = _with_marks(df, id_col, text_col, length)
 

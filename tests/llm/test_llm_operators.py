@@ -123,6 +123,23 @@ def test_many_shared_passages(spark):
     assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == removed(texts, 100)
 
 
+def test_suffix_ranks():
+    rng = np.random.default_rng(3)
+    b = np.concatenate([rng.integers(97, 99, 300), np.tile(rng.integers(97, 123, 40), 4)]).astype(np.uint8)
+    for length in (8, 13, 64, 100):
+        raw = b.tobytes() + bytes(length)
+        prefixes = [raw[i : i + length] for i in range(len(b))]
+        order = {x: k for k, x in enumerate(sorted(set(prefixes)))}
+        assert np.unique(repeats.suffix_ranks(b, length), return_inverse=True)[1].tolist() == [order[x] for x in prefixes]
+
+
+def test_trigger_over_many_runs(spark):
+    """One passage in more texts than a run of the dictionary holds, with other words around it each time."""
+    texts = {i: f"{prose(3)} {i} {PASSAGE[:130]} {i * 7} {prose(3)}" for i in range(6_000)}
+    got = rows(repeats.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4), 100))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == removed(texts, 100)
+
+
 def links_of(texts, k, percent):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
