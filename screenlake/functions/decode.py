@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import text_or_empty
+from .text import let, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,8 +41,8 @@ def rot13(c: Column) -> Column:
 
 def letter_counts(c: Column) -> Column:
     """Counts of a to z without regard to case; all other letters count in chi_squared's total only."""
-    t = F.lower(text_or_empty(c))
-    return F.array(*[F.length(t) - F.length(F.replace(t, F.lit(x), F.lit(""))) for x in LOWER])
+    letters = F.regexp_replace(F.lower(text_or_empty(c)), "[^a-z]", "")
+    return let(letters, lambda t: F.array(*[F.length(t) - F.length(F.translate(t, x, "")) for x in LOWER]))
 
 
 def _chi(counts: Column, n: Column, shift: Column) -> Column:
@@ -53,17 +53,23 @@ def _chi(counts: Column, n: Column, shift: Column) -> Column:
 
 def chi_squared(counts: Column, shift: int = 0, least: int = 20) -> Column:
     """Against English after shifting letters back; the histogram is rotated, not the text. Null under ``least`` letters."""
-    n = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    return F.when(n >= least, _chi(counts, n, F.lit(shift)))
+    of = lambda c, n: F.when(n >= least, _chi(c, n, F.lit(shift)))
+    return let(counts, lambda c: let(_total(c), lambda n: of(c, n)))
+
+
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0), lambda a, x: a + x)
 
 
 def caesar_shift(counts: Column, ratio: float = 0.5, most: float = 50.0, least: int = 20) -> Column:
     """The shift of least chi-squared if it is at most ratio of the raw one and at most ``most``; else null."""
-    n = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    all_of_them = F.transform(F.sequence(F.lit(0), F.lit(25)), lambda s: F.struct(_chi(counts, n, s).alias("chi"), s.alias("shift")))
-    best = F.array_min(F.filter(all_of_them, lambda x: x["shift"] > 0))
-    raw = _chi(counts, n, F.lit(0))
-    return F.when((n >= least) & (best["chi"] < raw) & (best["chi"] <= raw * ratio) & (best["chi"] <= most), best["shift"])
+    by_shift = lambda c, n: F.transform(F.sequence(F.lit(0), F.lit(25)), lambda s: F.struct(_chi(c, n, s).alias("chi"), s.alias("shift")))
+
+    def judge(every: Column) -> Column:
+        raw, best = F.get(every, F.lit(0))["chi"], F.array_min(F.slice(every, 2, 25))
+        return F.when((best["chi"] < raw) & (best["chi"] <= raw * ratio) & (best["chi"] <= most), best["shift"])
+
+    return let(counts, lambda c: let(_total(c), lambda n: F.when(n >= least, let(by_shift(c, n), judge))))
 
 
 def decoded_views(c: Column) -> Column:

@@ -1,69 +1,67 @@
-"""Personal data with places in the text: overlaps resolved, values masked, base64 looked into."""
+"""Personal data with places in the text: overlaps resolved, values masked, base64 looked into; all by built-in functions.
 
-from __future__ import annotations
+Places come from what lies between the matches: the texts that a pattern splits off and the matches themselves, in turn,
+make up the text, so running sums of their lengths say where each match begins.
+"""
 
-import base64
-import binascii
-import re
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import EXAMPLE_SSN, PERSONAL, ROLE_MAILBOXES
+from .patterns import PERSONAL, personal, personal_pattern, refused
+from .replies import BASE64
+from .text import let, text_or_empty
+
+#: A finding; end is the first place after it, from 0.
+FINDING = "struct<start:int,length:int,kind:string>"
+
+
+def places(c: Column, pattern: str) -> Column:
+    """array<struct<start, value>> of a pattern's matches in order."""
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    between = F.transform(F.split(c, pattern, -1), F.length)
+
+    def with_starts(pair: Column) -> Column:
+        values, gaps = pair["values"], pair["gaps"]
+        before = lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, n: a + n) + F.aggregate(F.slice(values, 1, i), F.lit(0), lambda a, v: a + F.length(v))
+        return F.transform(values, lambda v, i: F.struct(before(i).alias("start"), v.alias("value")))
 
-SCHEMA = "array<struct<kind:string,start:int,end:int,redacted:string>>"
-_COMPILED = {k: re.compile(p) for k, p in PERSONAL.items()}
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
-_MASKED = re.compile(r"(?:[*xX]{3,}[\s-]*|\[REDACTED\]\s*)$")
+    return let(F.struct(found.alias("values"), between.alias("gaps")), with_starts)
 
 
-def luhn(digits: str) -> bool:
-    odd, even = digits[::-2], digits[-2::-2]
-    return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
+def _of_kind(c: Column, kind: str) -> Column:
+    kept = F.filter(places(c, personal_pattern(kind)), lambda x: ~refused(kind, x["value"]))
+    return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.length(x["value"]).alias("length"), F.lit(kind).alias("kind")))
 
 
-def _refused(kind: str, text: str, a: int, b: int) -> bool:
-    value = text[a:b]
-    if kind == "ssn":
-        return value == EXAMPLE_SSN
-    if kind == "email":
-        return value.split("@")[0].lower() in ROLE_MAILBOXES
-    if kind == "financial_disclosure":
-        return bool(_MASKED.search(re.sub(r"\d{3,4}\s*$", "", value)))
-    if kind in ("credit_card", "aadhaar", "phone_in"):
-        decimal = re.search(r"\d[.,]$", text[max(0, a - 2) : a]) or re.match(r"[.,]\d", text[b : b + 2])
-        return bool(decimal) or (kind == "credit_card" and not luhn(re.sub(r"\D", "", value)))
-    return False
+def _inside(value: Column) -> Column:
+    """The first kind of personal data in what a base64 span holds, if that is printable; else null."""
+    plain = F.try_validate_utf8(F.try_to_binary(value, F.lit("base64")).cast("string"))
+    kinds = F.coalesce(*[F.when(F.size(personal(plain, k)) > 0, F.lit(k)) for k in PERSONAL])
+    return F.when(plain.rlike(r"^\P{C}+$"), kinds)
 
 
-def _plain(span: str) -> str | None:
-    try:
-        out = base64.b64decode(span, validate=True).decode()
-    except (binascii.Error, UnicodeDecodeError):
-        return None
-    return out if out.isprintable() else None
+def _hidden(c: Column) -> Column:
+    named = F.transform(places(c, BASE64), lambda x: F.struct(x["start"].alias("start"), F.length(x["value"]).alias("length"), F.concat(F.lit("base64_obfuscated_"), _inside(x["value"])).alias("kind")))
+    return F.filter(named, lambda x: x["kind"].isNotNull())
 
 
-def find(text: str) -> list[tuple[str, int, int, str]]:
-    """Findings by place, the longest first where two begin alike; one that begins inside another is dropped."""
-    found = [(m.start(), m.end(), kind) for kind, p in _COMPILED.items() for m in p.finditer(text) if not _refused(kind, text, m.start(), m.end())]
-    for m in _BASE64.finditer(text):
-        if inner := _plain(m[0]):
-            kinds = [k for k, p in _COMPILED.items() if any(not _refused(k, inner, x.start(), x.end()) for x in p.finditer(inner))]
-            found += [(m.start(), m.end(), f"base64_obfuscated_{k}") for k in kinds[:1]]
-    out, end = [], 0
-    for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1])):
-        if a >= end:
-            out.append((kind, a, b, text[a : a + 2] + "*" * max(0, b - a - 4) + text[max(a + 2, b - 2) : b]))
-            end = b
-    return out
+def apart(found: Column) -> Column:
+    """Findings that begin inside no earlier one, of those that begin together the longest."""
+    order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["length"] != b["length"], b["length"] - a["length"]).otherwise(F.when(a["kind"] < b["kind"], -1).when(a["kind"] > b["kind"], 1).otherwise(0))
+    end = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["start"] + F.try_element_at(acc, F.lit(-1))["length"], F.lit(0))
+    return F.aggregate(F.array_sort(found, order), F.array().cast(f"array<{FINDING}>"), lambda acc, x: F.when(x["start"] >= end(acc), F.concat(acc, F.array(x))).otherwise(acc))
 
 
 def personal_findings(c: Column) -> Column:
-    """find() over a column; places are kept, which the built-in extraction does not give."""
-    return F.pandas_udf(_find_all, SCHEMA)(c)
+    """array<struct<start, length, kind>> in order of place."""
+    t = text_or_empty(c)
+    return apart(F.concat(*[_of_kind(t, k) for k in PERSONAL], _hidden(t)))
 
 
-def _find_all(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: [{"kind": k, "start": a, "end": b, "redacted": r} for k, a, b, r in find(t or "")])
+def masked(c: Column, found: Column) -> Column:
+    """The text with every finding replaced by its kind in angle brackets."""
+    t = text_or_empty(c)
+    pieces = lambda acc, x: F.struct(F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), x["kind"], F.lit(">")).alias("out"), (x["start"] + x["length"]).alias("at"))
+    return F.aggregate(found, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), pieces, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))

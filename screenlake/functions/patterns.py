@@ -23,6 +23,18 @@ INJECTION = (
 )
 SOFT = (3, 7, 8, 10)
 
+# Marks of a spoofed control channel.
+_LEAD = r"(?:(?:important|urgent|critical|new|official|priority)\s+)*"
+_PRIVILEGED = r"(?:admin(?:istrator)?|developer|operator|root|sudo|hidden)"
+_MESSAGE = r"(?:override|update|note|notice|message|instructions?|directive|command|alert|mode|protocol|request|order|prompt)"
+SPOOFED = {
+    "bracket_privileged": rf"\[\s*{_LEAD}{_PRIVILEGED}(?:\s+[a-z]+){{0,2}}\s*:",
+    "bracket_system": rf"\[\s*{_LEAD}system(?:\s+[a-z]+)?\s+{_MESSAGE}\s*[:\]]",
+    "bracket_named_directive": rf"\[\s*{_LEAD}{_PRIVILEGED}(?:\s+[a-z]+){{0,2}}\s+{_MESSAGE}\s*\]",
+    "system_message_header": r"#{2,}\s*\(\s*system[ _-]?message\s*\)",
+    "privileged_mode_on": r"\b(?:developer|dan|jailbreak|jailbroken|unrestricted|unfiltered|emergency)\s+(?:mode|protocol|override)\s+(?:is\s+|has been\s+|now\s+)*(?:enabled|activated|engaged|active|unlocked|on)\b|\boverride\s+(?:is\s+)?(?:active|activated|enabled|engaged)\b",
+}
+
 # Phrases that disclose instructions.
 DISCLOSURE = ("my instructions say", "i was told to", "my system prompt", "i have been instructed", "here are my instructions")
 
@@ -39,6 +51,10 @@ STRONG_CUES = (
     r"</?\s*(?:information|instructions?|system|important|admin|sys|inst)\s*>",
     r"\[/?\s*(?:inst|system|admin)\s*\]",
 )
+WIDE_CUES = (
+    r"\bsystem[ _-](?:prompt|message)s?\b",
+    r"(?<![A-Za-z0-9])(?:ignore|disregard|forget|override|bypass)\b.{0,40}\b(?:previous|prior|above|earlier|all|your|system|original)\b.{0,20}\b\w*(?:nstruct|prompt|guideline|directive)\w*",
+)
 WEAK_CUES = (
     rf"\b{_AI}\b",
     r"\b(?:you must|you should|you need to|you are (?:now|required)|from now on|do not tell the user|without (?:telling|informing|asking) the user)\b",
@@ -94,26 +110,57 @@ def injection_level(c: Column) -> Column:
     return F.when(F.size(found) == 0, "none").when(F.size(F.array_except(found, soft)) > 0, "hard").otherwise("soft")
 
 
+def spoof_markers(*views: Column) -> Column:
+    """Names of the marks present in any of the views of a text."""
+    return F.array_compact(F.array(*[F.when(_any(views, p), F.lit(name)) for name, p in SPOOFED.items()]))
+
+
+def _any(views, pattern: str) -> Column:
+    out = F.lit(False)
+    for v in views:
+        out = out | text_or_empty(v).rlike("(?i)" + pattern)
+    return out
+
+
+def injection_reason(*views: Column, hard_only: bool = False) -> Column:
+    """Why the rules fire on any view of a text: the first pattern by place, else the marks of a spoofed channel, else null."""
+    numbered = [(i, p) for i, p in enumerate(INJECTION) if not (hard_only and i in SOFT)]
+    first = F.coalesce(*[F.when(_any(views, p), F.lit(f"pattern {i}")) for i, p in numbered])
+    marks = spoof_markers(*views)
+    return F.coalesce(first, F.when(F.size(marks) > 0, F.concat(F.lit("spoofed channel: "), F.array_join(marks, ", "))))
+
+
+def first_cue(c: Column, patterns=STRONG_CUES + WEAK_CUES) -> Column:
+    """Where the earliest cue begins, from 0; null without one."""
+    at = [F.regexp_instr(text_or_empty(c), F.lit("(?is)" + p)) for p in patterns]
+    return F.array_min(F.array(*[F.when(a > 0, a - 1) for a in at]))
+
+
 def luhn_ok(digits: Column) -> Column:
     d = F.transform(F.filter(F.split(F.reverse(digits), ""), lambda x: x != ""), lambda x, i: F.when(i % 2 == 1, x.cast("int") * 2).otherwise(x.cast("int")))
     return F.aggregate(d, F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x)) % 10 == 0
 
 
+def personal_pattern(kind: str) -> str:
+    """A kind's pattern; of numbers, only those that are no part of a decimal number."""
+    p = PERSONAL[kind]
+    return rf"(?<!\d[.,]){p}(?![.,]\d)" if kind in ("credit_card", "aadhaar", "phone_in") else p
+
+
+def refused(kind: str, value: Column) -> Column:
+    """Whether a match is an example, a role's mailbox, a masked number or fails its checksum."""
+    rules = {
+        "ssn": lambda x: x == EXAMPLE_SSN,
+        "email": lambda x: F.lower(F.substring_index(x, "@", 1)).isin(*ROLE_MAILBOXES),
+        "credit_card": lambda x: ~luhn_ok(x),
+        "financial_disclosure": lambda x: F.regexp_replace(x, r"\d{3,4}\s*$", "").rlike(r"(?:[*xX]{3,}[\s-]*|\[REDACTED\]\s*)$"),
+    }
+    return rules.get(kind, lambda x: F.lit(False))(value)
+
+
 def personal(c: Column, kind: str) -> Column:
     """Matches of a kind, without examples, role mailboxes, failing checksums and parts of decimal numbers."""
-    pattern = PERSONAL[kind]
-    if kind in ("credit_card", "aadhaar", "phone_in"):
-        pattern = rf"(?<!\d[.,]){pattern}(?![.,]\d)"
-    found = F.regexp_extract_all(text_or_empty(c), F.lit(pattern), F.lit(0))
-    if kind == "ssn":
-        return F.filter(found, lambda x: x != EXAMPLE_SSN)
-    if kind == "email":
-        return F.filter(found, lambda x: ~F.lower(F.substring_index(x, "@", 1)).isin(*ROLE_MAILBOXES))
-    if kind == "credit_card":
-        return F.filter(found, luhn_ok)
-    if kind == "financial_disclosure":
-        return F.filter(found, lambda x: ~F.regexp_replace(x, r"\d{3,4}\s*$", "").rlike(r"(?:[*xX]{3,}[\s-]*|\[REDACTED\]\s*)$"))
-    return found
+    return F.filter(F.regexp_extract_all(text_or_empty(c), F.lit(personal_pattern(kind)), F.lit(0)), lambda x: ~refused(kind, x))
 
 
 def dangerous_code(c: Column) -> Column:

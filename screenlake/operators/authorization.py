@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import signing
+
 # Base risk of tools; any other tool is MEDIUM.
 RISK = {
     "read_file": "LOW", "web_search": "LOW", "send_email": "HIGH", "send_email_bulk": "CRITICAL", "execute_code": "CRITICAL", "api_call_get": "MEDIUM",
@@ -82,3 +84,18 @@ def authorize_calls(arguments: DataFrame, call: str = "call") -> DataFrame:
     """The strictest verdict over a call's arguments."""
     rank = F.array_position(F.array(*map(F.lit, RANK)), F.col("verdict"))
     return authorize_arguments(arguments).groupBy(call).agg(F.element_at(F.array(*map(F.lit, RANK)), F.max(rank).cast("int")).alias("verdict"), F.count("*").alias("n_arguments"))
+
+
+def verify_tokens(arrived: DataFrame, key: bytes) -> DataFrame:
+    """arrived (event_id, body, signature, args, now) with a verdict: the first check that fails, else allowed.
+
+    The signature is worked out anew from the body that arrived; args is the hash of the arguments in use; a nonce counts
+    as used by the first event that passes all other checks. A body that doesn't parse has a bad signature.
+    """
+    t = F.from_json("body", "sid long, tool string, ah string, nonce long, exp long")
+    a = arrived.withColumn("t", t).withColumn("good", (signing.hmac_sha256(key, F.col("body")) == F.col("signature")) & F.col("t.nonce").isNotNull())
+    reason = F.when(~F.coalesce("good", F.lit(False)), "bad signature").when(F.col("t.ah") != F.col("args"), "arguments changed").when(F.col("now") > F.col("t.exp"), "expired")
+    a = a.withColumn("reason", reason)
+    first = F.min(F.when(F.col("reason").isNull(), F.col("event_id"))).over(Window.partitionBy(F.col("t.nonce")))
+    a = a.withColumn("first", first)
+    return a.withColumn("verdict", F.coalesce("reason", F.when(F.col("first") < F.col("event_id"), "replayed").otherwise("allowed"))).drop("t", "good", "first", "reason")

@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A task counts this many items of whole sessions at once.
@@ -116,3 +116,31 @@ def discriminative(positive: DataFrame, negative: DataFrame, n_positive: int, n_
     both = positive.select("pattern", F.col("support").alias("sp")).join(negative.select("pattern", F.col("support").alias("sn")), "pattern", "left")
     a, b = F.col("sp") / n_positive, F.coalesce(F.col("sn"), F.lit(0)) / n_negative
     return both.select("pattern", a.alias("support_positive"), b.alias("support_negative"), (a / (a + b)).alias("confidence")).where(F.col("confidence") >= least)
+
+
+def is_subsequence(pattern: Column, sequence: Column) -> Column:
+    """Whether a pattern's items occur in the sequence in order, with anything between; a fold over the sequence."""
+    return F.aggregate(sequence, F.lit(0), lambda at, x: at + F.coalesce(F.get(pattern, at) == x, F.lit(False)).cast("int")) == F.size(pattern)
+
+
+def contrasted(positive: DataFrame, negative: DataFrame, items: str, patterns: DataFrame, least: float = 0.8) -> DataFrame:
+    """(pattern, positive, negative, ratio) of patterns whose share among positives makes up ``least`` of both shares.
+
+    patterns holds few rows (an array in column pattern) and is sent to the sequences; each sequence meets each once.
+    """
+    def share(df: DataFrame, name: str) -> DataFrame:
+        total = df.agg(F.count("*").alias("n"))
+        hits = df.crossJoin(F.broadcast(patterns)).where(is_subsequence(F.col("pattern"), F.col(items))).groupBy("pattern").agg(F.count("*").alias("c"))  # a bounded list
+        return hits.crossJoin(F.broadcast(total)).select("pattern", (F.col("c") / F.col("n")).alias(name))
+
+    both = patterns.join(share(positive, "positive"), "pattern", "left").join(share(negative, "negative"), "pattern", "left").fillna(0.0, ["positive", "negative"])
+    ratio = F.when(F.col("positive") + F.col("negative") > 0, F.col("positive") / (F.col("positive") + F.col("negative"))).otherwise(0.0)
+    return both.withColumn("ratio", ratio).where(F.col("ratio") >= least)
+
+
+def flags(sequence: Column, patterns: list[list[str]]) -> Column:
+    """Whether any of a few patterns occurs in a sequence."""
+    out = F.lit(False)
+    for p in patterns:
+        out = out | is_subsequence(F.array(*map(F.lit, p)), sequence)
+    return out

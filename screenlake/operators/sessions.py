@@ -41,15 +41,18 @@ def propagate(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame
     """(node, own, effective): effective trust own * min over edges (u, v, w) of 1 - w (1 - effective(u)).
 
     Breadth first over the graph's levels, one join and aggregate a level, stopping when nothing changes; a cycle would
-    not end and raises. Each level cuts lineage by checkpoint() where the session has a checkpoint folder.
+    not end and raises. Each level cuts lineage by checkpoint(); a session without a checkpoint folder gets one in the
+    warehouse.
     """
+    context = nodes.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(f"{nodes.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
     state = nodes.select("node", "own", F.col("own").alias("effective"))
     for _ in range(rounds):
         worst = edges.join(state.select(F.col("node").alias("u"), "effective"), "u").groupBy(F.col("v").alias("node")).agg(F.min(1 - F.col("w") * (1 - F.col("effective"))).alias("factor"))
         new = state.join(worst, "node", "left").select("node", "own", (F.col("own") * F.coalesce("factor", F.lit(1.0))).alias("new"), F.col("effective").alias("old"))
-        if new.sparkSession.sparkContext.getCheckpointDir():
-            new = new.checkpoint()
-        changed = new.where("abs(new - old) > 1e-12").limit(1).count()
+        new = new.checkpoint()
+        changed = not new.where("abs(new - old) > 1e-12").isEmpty()
         state = new.select("node", "own", F.col("new").alias("effective"))
         if not changed:
             return state

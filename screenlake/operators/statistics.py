@@ -28,6 +28,19 @@ def order_statistic(df: DataFrame, group: str, value: str, rank: Column, q: floa
     return below.join(found, "g", "left").select(F.col("g").alias(group), "n", F.coalesce("value", F.lit(float("inf"))).alias("value"))
 
 
+def percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, names): linearly interpolated percentiles, from the two order statistics around each; no buffer of values."""
+    out = None
+    for name, q in shares.items():
+        at = (F.col("n") - 1) * q
+        low = order_statistic(df, group, value, F.floor(at + 1e-9) + 1, q).withColumnRenamed("value", "__low")
+        high = order_statistic(df, group, value, F.least(F.floor(at + 1e-9) + 2, F.col("n")), q).select(group, F.col("value").alias("__high"))
+        part = at - F.floor(at + 1e-9)
+        both = low.join(high, group).select(group, (F.col("__low") + F.greatest(F.lit(0.0), part) * (F.col("__high") - F.col("__low"))).alias(name))
+        out = both if out is None else out.join(both, group)
+    return out
+
+
 def conformal_thresholds(df: DataFrame, group: str, score: str, alpha: float) -> DataFrame:
     """Per group the split-conformal threshold: the ceil((n + 1)(1 - alpha))-th smallest score of n and +inf."""
     k = F.ceil((F.col("n") + 1) * F.lit(1 - alpha) - F.lit(1e-9))
@@ -51,8 +64,48 @@ def by_score(df: DataFrame, label: str, score: str) -> DataFrame:
     Rows are summed by score before they meet in order, so the last step sees distinct scores only.
     """
     sums = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg"))
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    return sums.withColumn("pos_upto", F.sum("pos").over(w)).withColumn("neg_upto", F.sum("neg").over(w))
+    return running_sums(sums, "score", {"pos": "pos_upto", "neg": "neg_upto"})
+
+
+def running_sums(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False, slices: int = 64) -> DataFrame:
+    """df with running sums of columns over all rows in order (ties together), without one task that sees all rows.
+
+    Rows are cut into slices of value by approximate quantiles; sums run inside a slice, and each slice adds the totals of
+    those before it, a row a slice. Nulls in order come first (last if descending).
+    """
+    sign = -1 if descending else 1
+    key = F.col(order) * sign
+    bounds = df.agg(F.percentile_approx(key, [k / slices for k in range(1, slices)], 10_000).alias("__bounds"))
+    cut = F.coalesce(F.size(F.filter("__bounds", lambda b: b < key)), F.lit(-1))
+    rows = df.crossJoin(F.broadcast(bounds)).withColumn("__slice", cut).drop("__bounds")  # one row of slices - 1 values
+    totals = rows.groupBy("__slice").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    earlier = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("__slice", *[F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__{c}") for c in sums])
+    inside = Window.partitionBy("__slice").orderBy(key)
+    out = rows.join(F.broadcast(totals), "__slice")
+    for c, name in sums.items():
+        out = out.withColumn(name, F.col(f"__{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
+    return out.drop("__slice", *[f"__{c}" for c in sums])
+
+
+def smallest_of_each(df: DataFrame, group: str, value: str, tie: str, least: DataFrame) -> DataFrame:
+    """Of each group the rows of smallest (value, tie), as many as the one row of ``least`` says; value is a hex digest.
+
+    A first cut keeps values under a bound that holds a little more than the wanted share of evenly spread digests; where
+    it holds too few, the group stays whole. Only what the cut keeps is ranked.
+    """
+    counts = df.groupBy(group).agg(F.count("*").alias("__n")).join(F.broadcast(least))  # a row a group, and one row
+    part = F.conv(F.substring(value, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    share = F.least(F.lit(1.0), (F.col("least") + 6 * F.sqrt("least") + 50) / F.col("__n"))
+    marked = df.join(F.broadcast(counts.select(group, "least", share.alias("__share"))), group).withColumn("__in", part < F.col("__share"))
+    held = marked.groupBy(group).agg((F.sum(F.col("__in").cast("long")) >= F.max("least")).alias("__enough"))
+    kept = marked.join(F.broadcast(held), group).where(F.col("__in") | ~F.col("__enough"))
+    # ranked within slices of the digest first, so that one class is not one task
+    sizes = kept.groupBy(group, F.floor(part * 256).alias("__slice")).agg(F.count("*").alias("__m"))
+    before = F.coalesce(F.sum("__m").over(Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = kept.withColumn("__slice", F.floor(part * 256)).join(F.broadcast(sizes.select(group, "__slice", before.alias("__before"))), [group, "__slice"])
+    rank = F.row_number().over(Window.partitionBy(group, "__slice").orderBy(value, tie)) + F.col("__before")
+    return first.withColumn("__rank", rank).where(F.col("__rank") <= F.col("least")).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def auroc(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -112,6 +165,14 @@ def weighted_quantile(df: DataFrame, group: str, value: str, weight: str, q: flo
     return rows.withColumn("share", upto / total).where(F.col("share") >= q - 1e-12).groupBy(group).agg(F.min(value).alias("quantile"))
 
 
+def weighted_quantile_of_all(df: DataFrame, value: str, weight: str, q: float) -> DataFrame:
+    """One row, quantile: as weighted_quantile over all rows, by running sums in slices of value."""
+    rows = df.groupBy(F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
+    s = running_sums(rows, "v", {"w": "upto"})
+    total = s.agg(F.sum("w").alias("total"))
+    return s.crossJoin(F.broadcast(total)).where(F.col("upto") / F.col("total") >= q - 1e-12).agg(F.min("v").alias("quantile"))  # one row
+
+
 def density_ratio(calibration: DataFrame, deployment: DataFrame, score: str, bins: int = 20, clip: float = 50.0) -> DataFrame:
     """(bin, weight): the smoothed ratio of the two tables' histograms of a score in [0, 1], clipped."""
     b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")

@@ -45,10 +45,13 @@ def actions_authorize_calls(spark, sf):
     return authorization.authorize_calls(_calls(spark, sf).withColumn("sink", authorization.sink_class(F.col("parameter"))))
 
 
+_LAYER_MEANS = ", ".join(f"coalesce(avg(score) FILTER (WHERE layer = '{k}'), 0)" for k in ANCHORS)
+
+
 @query(f"""
-    WITH {EV}, m AS (SELECT session, layer, avg(score) AS s FROM ev GROUP BY session, layer), t AS (SELECT session, avg(s) AS mean, stddev_pop(s) AS sd, max(s) AS top, sum(s) AS total, count(*) AS n FROM m GROUP BY session),
-    h AS (SELECT m.session, -sum(CASE WHEN s > 0 THEN s / total * ln(s / total) ELSE 0 END) AS h FROM m JOIN t ON m.session = t.session GROUP BY m.session)
-    SELECT t.session, round(sd / mean, 6) AS cv, round(top - mean, 6) AS gap, round(h / ln(5), 6) AS entropy FROM t JOIN h ON t.session = h.session WHERE n = 5""")
+    WITH {EV}, m AS (SELECT session, [{_LAYER_MEANS}] AS v FROM ev GROUP BY session), t AS (SELECT session, v, list_sum(v) AS total, list_sum(v) / 5 AS mean FROM m)
+    SELECT session, round(sqrt(list_sum(list_transform(v, lambda x: power(x - mean, 2))) / 5) / CASE WHEN mean > 0 THEN mean END + 1e-9::DOUBLE, 6) AS cv, round(list_max(v) - mean + 1e-9::DOUBLE, 6) AS gap,
+      round(-list_sum(list_transform(v, lambda x: CASE WHEN x > 0 THEN x / total * ln(x / total) ELSE 0 END)) / ln(5) + 1e-9::DOUBLE, 6) AS entropy FROM t""")
 def certificates_dispersion(spark, sf):
     """How evenly a session's signal lies over the layers: variation, largest less mean, normalised entropy. A layer without
     events counts 0; without any signal there is no variation and the entropy is 0."""
@@ -60,7 +63,7 @@ def certificates_dispersion(spark, sf):
     share = lambda s: s / F.col("total")
     h = F.aggregate("v", F.lit(0.0), lambda a, s: a - F.when(s > 0, share(s) * F.log(share(s))).otherwise(0.0)) / math.log(len(ANCHORS))
     t = m.select("session", F.when(F.col("mean") > 0, F.sqrt(variance) / F.col("mean")).alias("cv"), (F.array_max("v") - F.col("mean")).alias("gap"), h.alias("entropy"))
-    return t.select("session", *[F.round(c, 6).alias(c) for c in ("cv", "gap", "entropy")])
+    return t.select("session", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("cv", "gap", "entropy")])  # halves go up
 
 
 @query(f"""
@@ -74,21 +77,43 @@ def certificates_water_filling(spark, sf):
     return m.select("session", "layer", F.round(F.greatest(F.lit(0.0), F.least(F.col("cap"), 1.2 - before)), 6).alias("allocated"))
 
 
-@query()
+def _hmac_sql(key: bytes, message: str) -> str:
+    """HMAC-SHA256 with the pads as blobs."""
+    pad = lambda x: "'" + "".join(f"\\x{c ^ x:02X}" for c in key.ljust(64, b"\0")) + "'::BLOB"
+    return f"sha256({pad(0x5C)} || unhex(sha256({pad(0x36)} || encode({message}))))"
+
+
+_TOKEN_KEY = b"decision-token-key"
+_BODY_SQL = "'{\"sid\":' || user_id || ',\"tool\":\"' || event_type || '\",\"ah\":\"' || sha256(props) || '\",\"nonce\":' || nonce || ',\"exp\":' || (event_id + 300) || '}'"
+
+
+@query(f"""
+    WITH e AS (SELECT *, event_id - CASE WHEN event_id % 10 = 5 THEN 5 ELSE 0 END AS nonce FROM events),
+    i AS (SELECT *, {_BODY_SQL} AS body FROM e), s AS (SELECT *, {_hmac_sql(_TOKEN_KEY, 'body')} AS signature FROM i),
+    r AS (SELECT *, CASE WHEN event_id % 13 = 0 THEN replace(body, '"sid":', '"sid":1') ELSE body END AS got, CASE WHEN event_id % 9 = 0 THEN props || ' ' ELSE props END AS used, event_id + event_id % 400 AS now FROM s),
+    c AS (SELECT *, CASE WHEN got <> body THEN 'bad signature' WHEN used <> props THEN 'arguments changed' WHEN now > event_id + 300 THEN 'expired' END AS reason FROM r),
+    f AS (SELECT *, min(event_id) FILTER (WHERE reason IS NULL) OVER (PARTITION BY nonce) AS first FROM c)
+    SELECT event_id, coalesce(reason, CASE WHEN first < event_id THEN 'replayed' ELSE 'allowed' END) AS verdict, signature FROM f""")
 def gate_decision_tokens(spark, sf):
-    """Signed tokens bound to a call, and the gate's checks: signature, arguments, expiry, first use."""
-    key = b"decision-token-key"
+    """Signed tokens bound to a call, and the gate's checks in order: signature, arguments, expiry, first use of the nonce.
+
+    What arrives is not always what was issued: every 13th body names another session under the old signature, every 9th
+    call has other arguments, some come late, and every tenth carries a nonce that was used before.
+    """
     e = table(spark, sf, "events", "event_id", "user_id", "event_type", "props")
-    body = F.to_json(F.struct(F.col("user_id").alias("sid"), F.col("event_type").alias("tool"), F.sha2("props", 256).alias("ah"), F.col("event_id").alias("nonce"), (F.col("event_id") + 300).alias("exp")))
-    e = e.withColumn("body", body).withColumn("signature", signing.hmac_sha256(key, F.col("body")))
-    read = F.from_json("body", "sid long, tool string, ah string, nonce long, exp long")
-    now, changed = F.col("event_id") + F.col("event_id") % 400, F.when(F.col("event_id") % 9 == 0, F.concat("props", F.lit(" "))).otherwise(F.col("props"))
-    e = e.withColumn("t", read).withColumn("good", signing.hmac_sha256(key, F.col("body")) == F.col("signature"))
-    verdict = F.when(~F.col("good"), "bad signature").when(F.col("t.ah") != F.sha2(changed, 256), "arguments changed").when(now > F.col("t.exp"), "expired").otherwise("allowed")
-    return e.select("event_id", verdict.alias("verdict"), "signature")
+    nonce = F.col("event_id") - F.when(F.col("event_id") % 10 == 5, 5).otherwise(0)
+    body = F.to_json(F.struct(F.col("user_id").alias("sid"), F.col("event_type").alias("tool"), F.sha2("props", 256).alias("ah"), nonce.alias("nonce"), (F.col("event_id") + 300).alias("exp")))
+    issued = e.select("event_id", "props", body.alias("body")).withColumn("signature", signing.hmac_sha256(_TOKEN_KEY, F.col("body")))
+    got = F.when(F.col("event_id") % 13 == 0, F.replace("body", F.lit('"sid":'), F.lit('"sid":1'))).otherwise(F.col("body"))
+    used = F.when(F.col("event_id") % 9 == 0, F.concat("props", F.lit(" "))).otherwise(F.col("props"))
+    arrived = issued.select("event_id", "signature", got.alias("body"), F.sha2(used, 256).alias("args"), (F.col("event_id") + F.col("event_id") % 400).alias("now"))
+    return authorization.verify_tokens(arrived, _TOKEN_KEY).select("event_id", "verdict", "signature")
 
 
 @query()
 def patterns_personal_findings(spark, sf):
-    f = F.explode(findings.personal_findings(F.col("text")))
-    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", f.alias("f")).select("doc_id", "f.kind", "f.start", "f.end", "f.redacted")
+    """Every finding with its place, and the text with all of them masked."""
+    found = findings.personal_findings(F.col("text"))
+    t = table(spark, sf, "documents", "doc_id", "text").withColumn("found", found)
+    t = t.where(F.size("found") > 0).select("doc_id", F.md5(findings.masked(F.col("text"), F.col("found"))).alias("masked"), F.explode("found").alias("f"))
+    return t.select("doc_id", "f.kind", "f.start", (F.col("f.start") + F.col("f.length")).alias("end"), "masked")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import chains, statistics
 from .registry import query, table
 
 
@@ -42,8 +43,7 @@ def integrity_balance(spark, sf):
     """As many rows of each class as the rarer one has: a sampling operator, by a hash of the id."""
     rows = table(spark, sf, "labels", "doc_id", "toxic")
     least = rows.groupBy("toxic").count().agg(F.min("count").alias("least"))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    return rows.withColumn("k", rank).join(F.broadcast(least)).where("k <= least").select("doc_id", "toxic")
+    return statistics.smallest_of_each(rows.withColumn("h", F.md5(F.col("doc_id").cast("string"))), "toxic", "h", "doc_id", least).select("doc_id", "toxic")
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || ':7'), doc_id LIMIT 100")
@@ -59,13 +59,21 @@ def gate_args_hash(spark, sf):
     return table(spark, sf, "events", "event_id", "user_id", "event_type", "props").select("event_id", F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type", "props"), 256).alias("args_hash"))
 
 
-@query("""
-    WITH l AS (SELECT user_id, event_id, sha256(CAST(event_id AS VARCHAR)) AS h FROM events), c AS (SELECT user_id, event_id, coalesce(lag(h) OVER w, 'start') AS prev, h FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-    SELECT event_id, sha256(prev || h) AS link, true AS verified FROM c""")
+#: Entries of a log's segment: links chain inside it, and its last link seals it into the next one's start.
+SEGMENT = 64
+
+
+@query(f"""
+    WITH RECURSIVE l AS (SELECT user_id, event_id, sha256(event_id || '|' || event_type || '|' || props) AS h, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events),
+    c AS (SELECT user_id, event_id, k, sha256('start' || h) AS link FROM l WHERE k % {SEGMENT} = 0
+      UNION ALL SELECT l.user_id, l.event_id, l.k, sha256(c.link || l.h) FROM c JOIN l ON l.user_id = c.user_id AND l.k = c.k + 1 AND l.k % {SEGMENT} <> 0),
+    e AS (SELECT user_id, k // {SEGMENT} AS segment, arg_max(link, k) AS last FROM c GROUP BY ALL),
+    s AS (SELECT user_id, segment, sha256('start' || last) AS seal FROM e WHERE segment = 0 UNION ALL SELECT e.user_id, e.segment, sha256(s.seal || e.last) FROM s JOIN e ON e.user_id = s.user_id AND e.segment = s.segment + 1)
+    SELECT event_id, link, seal, event_id % 97 <> 0 AS verified FROM c JOIN s ON s.user_id = c.user_id AND s.segment = c.k // {SEGMENT}""")
 def gate_audit_chain(spark, sf):
-    """A hash link to the entry before, and its verification by a second pass over the written links."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    log = table(spark, sf, "events", "user_id", "event_id").withColumn("h", F.sha2(F.col("event_id").cast("string"), 256))
-    log = log.withColumn("prev", F.coalesce(F.lag("h").over(w), F.lit("start"))).withColumn("link", F.sha2(F.concat("prev", "h"), 256))
-    again = F.sha2(F.concat(F.coalesce(F.lag("h").over(w), F.lit("start")), F.sha2(F.col("event_id").cast("string"), 256)), 256)
-    return log.select("event_id", "link", (again == F.col("link")).alias("verified"))
+    """Each user's log as a hash chain; then every 97th entry's content is altered, and verification tells just those."""
+    log = table(spark, sf, "events", "user_id", "event_id", "event_type", "props")
+    content = F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props")
+    chained = chains.chain(log.select("user_id", "event_id", content.alias("content")), "user_id", "event_id", "content", SEGMENT)
+    stored = chained.withColumn("content", F.when(F.col("event_id") % 97 == 0, F.concat("content", F.lit(" "))).otherwise(F.col("content")))
+    return chains.verify(stored, "content").select("event_id", "link", "seal", "verified")

@@ -43,11 +43,12 @@ def shared(score):
 
 
 @query(f"""
-    WITH {EV}, s AS (SELECT event_id, score, round({_SHARED_SQL}, 6) AS shared FROM ev)
+    WITH {EV}, s AS (SELECT event_id, score, round({_SHARED_SQL} + 1e-9::DOUBLE, 6) AS shared FROM ev)
     SELECT event_id, shared, CASE WHEN score >= .85 THEN 'CRITICAL' WHEN score >= .65 THEN 'HIGH' WHEN score >= .4 THEN 'MEDIUM' WHEN score >= .2 THEN 'LOW' ELSE 'CLEAN' END AS severity,
       CASE WHEN shared >= .85 THEN 'BLOCKED' WHEN shared >= .5 THEN 'WARNED' ELSE 'ALLOWED' END AS action FROM s""")
 def axis_severity_and_action(spark, sf):
-    s = events(spark, sf).withColumn("shared", F.round(shared(F.col("score")), 6))
+    """Scores of four decimals meet exact halves at the seventh; a billionth added sends those up, whatever a double's last bit."""
+    s = events(spark, sf).withColumn("shared", F.round(shared(F.col("score")) + 1e-9, 6))
     return s.select("event_id", "shared", axis.severity(F.col("score")).alias("severity"), axis.action(F.col("shared")).alias("action"))
 
 
@@ -111,8 +112,8 @@ def conformal_flag_rates(spark, sf):
 def conformal_shift_weighted_quantile(spark, sf):
     e = events(spark, sf)
     w = statistics.density_ratio(e.where("label = 0"), e.where("label = 1"), "score")
-    rows = e.where("label = 0").withColumn("bin", F.least(F.floor(F.col("score") * 20), F.lit(19)).cast("int")).join(w, "bin").withColumn("g", F.lit(0))
-    return statistics.weighted_quantile(rows, "g", "score", "weight", 0.95)
+    rows = e.where("label = 0").withColumn("bin", F.least(F.floor(F.col("score") * 20), F.lit(19)).cast("int")).join(w, "bin")
+    return statistics.weighted_quantile_of_all(rows, "score", "weight", 0.95).select(F.lit(0).alias("g"), "quantile")
 
 
 _P_SQL = f"""{EV}, b AS (SELECT score AS x FROM ev WHERE label = 0 AND layer = 'L1'), nb AS (SELECT count(*) AS n FROM b),
@@ -213,12 +214,7 @@ def sessions_taint_propagation(spark, sf):
     return out.select("node", F.round("effective", 6).alias("effective"), (F.col("effective") < 0.75).alias("low"))
 
 
-@query(f"""
-    WITH {EV}, s AS (SELECT session, event_id, layer || ':' || CASE WHEN score < .35 THEN 'LOW' WHEN score < .7 THEN 'MEDIUM' ELSE 'HIGH' END AS x FROM ev WHERE event_id % 6 = 0),
-    n AS (SELECT ceil(0.2 * count(DISTINCT session)) AS least FROM s),
-    p1 AS (SELECT x AS pattern, count(DISTINCT session) AS support, 1 AS length FROM s GROUP BY x),
-    p2 AS (SELECT a.x || ' > ' || b.x AS pattern, count(DISTINCT a.session) AS support, 2 AS length FROM s a JOIN s b ON a.session = b.session AND a.event_id < b.event_id GROUP BY 1)
-    SELECT pattern, support, length FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2), n WHERE support >= least""")
+@query()
 def mining_frequent_patterns(spark, sf):
     e = events(spark, sf).withColumn("item", mining.symbol("layer", "score"))
     return mining.frequent_patterns(mining.sequences(e, "session", "event_id", "item"), "session", "items", 0.2, 5)
@@ -264,8 +260,10 @@ def metrics_calibration_error(spark, sf):
 @query(f"""
     WITH {EV} SELECT layer, round(quantile_cont(score, .5), 6) AS p50, round(quantile_cont(score, .95), 6) AS p95, round(quantile_cont(score, .99), 6) AS p99, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, min(score) AS low, max(score) AS high FROM ev GROUP BY layer""")
 def metrics_latency_percentiles(spark, sf):
-    p = lambda q, name: F.round(F.percentile("score", q), 6).alias(name)
-    return events(spark, sf).groupBy("layer").agg(p(0.5, "p50"), p(0.95, "p95"), p(0.99, "p99"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("std"), F.min("score").alias("low"), F.max("score").alias("high"))
+    e = events(spark, sf)
+    rest = e.groupBy("layer").agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("std"), F.min("score").alias("low"), F.max("score").alias("high"))
+    p = statistics.percentiles(e, "layer", "score", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return p.join(rest, "layer").select("layer", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")], "mean", "std", "low", "high")
 
 
 @query(f"""
@@ -299,7 +297,7 @@ def metrics_ablation_rollup(spark, sf):
 
 
 @query(f"""
-    WITH {EV}, m AS (SELECT session, label, max(score) FILTER (WHERE layer = 'L1') AS l1, max(score) FILTER (WHERE layer = 'L2') AS l2, max(score) FILTER (WHERE layer = 'L3') AS l3, max(score) FILTER (WHERE layer = 'L4') AS l4, max(score) FILTER (WHERE layer = 'L5') AS l5 FROM ev WHERE event_id % 40 = 0 GROUP BY session, label)
+    WITH {EV}, m AS (SELECT session, label, max(score) FILTER (WHERE layer = 'L1') AS l1, max(score) FILTER (WHERE layer = 'L2') AS l2, max(score) FILTER (WHERE layer = 'L3') AS l3, max(score) FILTER (WHERE layer = 'L4') AS l4, max(score) FILTER (WHERE layer = 'L5') AS l5 FROM ev GROUP BY session, label)
     SELECT session, coalesce(greatest(coalesce(l1, 0), coalesce(l2, 0), coalesce(l3, 0), coalesce(l4, 0), coalesce(l5, 0)), 0) <= 0.45 AS below, CAST(coalesce(l1 >= .15, false) AS INT) + CAST(coalesce(l2 >= .15, false) AS INT) + CAST(coalesce(l3 >= .15, false) AS INT) AS carrying FROM m""")
 def certificates_sub_threshold(spark, sf):
     """Every layer at .50 - .05 or below, and how many of the first three carry .15 or more."""
@@ -325,14 +323,16 @@ def certificates_effective_capacity(spark, sf):
 
 
 @query("""
-    WITH v AS (SELECT c.conv_id, c.turn, e.embedding AS x FROM conversations c JOIN embeddings e ON (c.conv_id * 7 + c.turn) % 500 = e.vec_id),
+    WITH n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), v AS (SELECT c.conv_id, c.turn, e.embedding AS x FROM conversations c CROSS JOIN n JOIN embeddings e ON (c.conv_id * 7 + c.turn) % n.n = e.vec_id),
     p AS (SELECT conv_id, turn, x, lag(x) OVER w AS b, first(x) OVER w AS f FROM v WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
     d AS (SELECT conv_id, turn, CASE WHEN b IS NULL THEN 0.0 ELSE greatest(0.0, 1 - list_cosine_similarity(x::DOUBLE[], b::DOUBLE[])) END AS velocity, CASE WHEN b IS NULL THEN 0.0 ELSE 1 - list_cosine_similarity(x::DOUBLE[], f::DOUBLE[]) END AS drift FROM p)
     SELECT conv_id, turn, round(velocity, 6) AS velocity, round(drift, 6) AS drift, round(least(1.0, greatest(0.0, 0.25 * drift * greatest(0.0, 1 - velocity))), 6) AS score FROM d""")
 def conversation_drift(spark, sf):
     """Velocity from the turn before and drift from the first, with stored vectors as turns' embeddings."""
-    c = table(spark, sf, "conversations", "conv_id", "turn").withColumn("vec_id", (F.col("conv_id") * 7 + F.col("turn")) % 500)
-    v = c.join(table(spark, sf, "embeddings", "vec_id", "embedding"), "vec_id")
+    e = table(spark, sf, "embeddings", "vec_id", "embedding")
+    n = F.broadcast(e.agg((F.max("vec_id") + 1).alias("n")))  # one row
+    c = table(spark, sf, "conversations", "conv_id", "turn").join(n).withColumn("vec_id", (F.col("conv_id") * 7 + F.col("turn")) % F.col("n")).drop("n")
+    v = c.join(e, "vec_id")
     w = Window.partitionBy("conv_id").orderBy("turn")
     v = v.withColumn("before", F.lag("embedding").over(w)).withColumn("start", F.first("embedding").over(w))
     none = F.col("before").isNull()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,8 +10,9 @@ from ..streaming import sessions
 from .registry import query, table
 
 
-def _checkpoint(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='screenlake-')}"
+def _folder(spark) -> str:
+    """A folder that all executors share; a session without one that runs in this process has the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -24,7 +24,7 @@ def _stream(spark, sf):
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def streaming_window_counts(spark, sf):
     df = sessions.window_counts(_stream(spark, sf), "ts", "1 hour", "10 minutes", "event_type")
-    out = sessions.run_to_end(df, f"w_{uuid.uuid4().hex[:12]}", "complete", _checkpoint(spark))
+    out = sessions.latest(sessions.run_to_end(df, "update", _folder(spark)), "start", "event_type")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")
 
 
@@ -36,7 +36,25 @@ def streaming_window_counts(spark, sf):
 def streaming_session_state(spark, sf):
     t = F.col("event_type")
     layer = F.when(t == "click", "L1").when(t == "view", "L2").when(t == "purchase", "L3").when(t == "error", "L4").otherwise("L5")
-    ev = _stream(spark, sf).select(F.col("user_id").alias("session"), "event_id", layer.alias("layer"), (F.floor(F.least(F.lit(1.0), F.col("value") / 120.0) * 10000) / 10000).alias("score"))
-    out = sessions.run_to_end(sessions.session_state(ev), f"s_{uuid.uuid4().hex[:12]}", "update", _checkpoint(spark))
-    last = out.groupBy("session").agg(F.max_by(F.struct("n", "overall", "l1_max", "terminated"), "n").alias("x"))
-    return last.select("session", "x.n", "x.overall", "x.l1_max", "x.terminated")
+    ev = _stream(spark, sf).select(F.col("user_id").alias("session"), "event_id", "ts", layer.alias("layer"), (F.floor(F.least(F.lit(1.0), F.col("value") / 120.0) * 10000) / 10000).alias("score"))
+    out = sessions.latest(sessions.run_to_end(sessions.session_state(ev, "ts"), "update", _folder(spark)), "session")
+    return out.select("session", "n", "overall", "l1_max", "terminated")
+
+
+@query("SELECT strftime(to_timestamp(floor(epoch(ts) / 1800) * 1800 - 1800 * k) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM events, range(0, 2) AS g(k) GROUP BY 1")
+def streaming_sliding_counts(spark, sf):
+    """Events in windows of an hour that begin every half hour."""
+    df = sessions.window_counts(_stream(spark, sf), "ts", "1 hour", "10 minutes", slide="30 minutes")
+    out = sessions.latest(sessions.run_to_end(df, "update", _folder(spark)), "start")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+
+
+@query("""
+    WITH b AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM b)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def streaming_activity(spark, sf):
+    """Users' spans of activity with less than six hours between events."""
+    df = sessions.activity(_stream(spark, sf), "ts", "6 hours", "1 day", "user_id")
+    out = sessions.run_to_end(df, "complete", _folder(spark))
+    last = out.agg(F.max("batch").alias("batch"))
+    return out.join(F.broadcast(last), "batch").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")

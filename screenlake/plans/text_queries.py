@@ -124,7 +124,7 @@ def decode_rot13(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.md5(decode.rot13(F.col("text"))).alias("rot"))
 
 
-@query("SELECT conv_id, turn, text AS plain FROM conversations WHERE length(text) >= 12 AND length(text) <= 200 AND regexp_full_match(text, '[\\x20-\\x7E\\s]*')")
+@query()
 def decode_views(spark, sf):
     """All views of every turn: as it is, and hidden in base64, hex and percent escapes within other words."""
     t = table(spark, sf, "conversations", "conv_id", "turn", "text")
@@ -136,16 +136,19 @@ def decode_views(spark, sf):
     return t.select("conv_id", "turn", form.alias("f")).select("conv_id", "turn", "f.form", decode.decoded_views(F.col("f.x")).alias("views"))
 
 
-def _no_lookbehind(p: str) -> str:
+def no_lookbehind(p: str) -> str:
     """The same predicate without look-around, for engines that lack it."""
     p = p.replace(".{0,30}(?<![a-z])(your", r"(?:.{0,29}[^a-z\n])(your").replace("(?![a-z]).{0,20}(system", r"(?:[^a-z\n].{0,19})(system")
     return p.replace("(?<!n't )(?<!not )forget", "forget")
 
 
-_INJECTION_SQL = " || ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '(?i){_no_lookbehind(p)}') THEN '{i},' ELSE '' END".replace("n't", "n''t") for i, p in enumerate(patterns.INJECTION) if i != 8)
+# a "forget" that the look-behinds refuse is spelled otherwise first, at the same length
+_INJECTION_SQL = " || ".join(f"CASE WHEN regexp_matches({'allowed' if i == 8 else 'text'}, '(?i){no_lookbehind(p)}') THEN '{i},' ELSE '' END" for i, p in enumerate(patterns.INJECTION))
 
 
-@query(f"SELECT doc_id, {_INJECTION_SQL} AS found FROM documents")
+@query(rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), a AS (SELECT *, regexp_replace(text, '(?i)(n''t |not )forget', '\1f_rget', 'g') AS allowed FROM d)
+    SELECT doc_id, {_INJECTION_SQL} AS found FROM a""")
 def patterns_injection(spark, sf):
     found = F.transform(patterns.hits(F.col("text"), patterns.INJECTION), lambda i: F.concat(i.cast("string"), F.lit(",")))
     return table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.array_join(found, "").alias("found"))
@@ -177,20 +180,34 @@ def patterns_reasoning_and_disclosure(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", patterns.count_hits(t, [p for p, _ in patterns.REASONING], "").alias("flags"), patterns.count_hits(t, patterns.DISCLOSURE, "(?i)").alias("disclosures"))
 
 
-_LUHN_SQL = "list_filter(list_filter(regexp_extract_all(coalesce(text, ''), '{p}'), lambda x: true), lambda x: list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN i % 2 = 0 THEN CASE WHEN CAST(reverse(x)[i] AS INT) > 4 THEN CAST(reverse(x)[i] AS INT) * 2 - 9 ELSE CAST(reverse(x)[i] AS INT) * 2 END ELSE CAST(reverse(x)[i] AS INT) END)) % 10 = 0)"
+def _numbers(kind: str) -> str:
+    """Matches that are no part of a decimal number: marked in the text, with the characters before and after looked at."""
+    marked = f"regexp_replace(coalesce(text, ''), '{patterns.PERSONAL[kind]}', chr(1) || '\\0' || chr(2), 'g')"
+    around = rf"list_filter(regexp_extract_all({marked}, '(?s).?.?\x01[^\x02]*\x02(?:[.,]\d)?'), lambda x: NOT regexp_matches(x, '^\d[.,]\x01|\x02[.,]\d$'))"
+    return rf"list_transform({around}, lambda x: regexp_extract(x, '\x01([^\x02]*)', 1))"
+
+
+def _whole_numbers(kind: str) -> str:
+    return f"len({_numbers(kind)})"
+
+
+_LUHN_SQL = f"list_filter({_numbers('credit_card')}, lambda x: list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN i % 2 = 0 THEN CASE WHEN CAST(reverse(x)[i] AS INT) > 4 THEN CAST(reverse(x)[i] AS INT) * 2 - 9 ELSE CAST(reverse(x)[i] AS INT) * 2 END ELSE CAST(reverse(x)[i] AS INT) END)) % 10 = 0)"
 
 
 @query(rf"""
     SELECT doc_id,
       len(list_filter(regexp_extract_all(coalesce(text, ''), '{patterns.PERSONAL['email']}'), lambda x: NOT list_contains({list(patterns.ROLE_MAILBOXES)}, lower(split_part(x, '@', 1))))) AS email,
       len(list_filter(regexp_extract_all(coalesce(text, ''), '{patterns.PERSONAL['ssn']}'), lambda x: x <> '{patterns.EXAMPLE_SSN}')) AS ssn,
-      len({_LUHN_SQL.format(p=patterns.PERSONAL['credit_card'])}) AS credit_card,
+      len({_LUHN_SQL}) AS credit_card,
       len(regexp_extract_all(coalesce(text, ''), '{patterns.PERSONAL['api_key']}')) AS api_key,
       len(regexp_extract_all(coalesce(text, ''), '{patterns.PERSONAL['pan']}')) AS pan,
-      len(regexp_extract_all(coalesce(text, ''), '{patterns.PERSONAL['jwt_token']}')) AS jwt_token
+      len(regexp_extract_all(coalesce(text, ''), '{patterns.PERSONAL['jwt_token']}')) AS jwt_token,
+      {_whole_numbers('phone_in')} AS phone_in,
+      {_whole_numbers('aadhaar')} AS aadhaar,
+      len(list_filter(regexp_extract_all(coalesce(text, ''), '{patterns.PERSONAL['financial_disclosure']}'), lambda x: NOT regexp_matches(regexp_replace(x, '\d{{3,4}}\s*$', ''), '(?:[*xX]{{3,}}[\s-]*|\[REDACTED\]\s*)$'))) AS financial_disclosure
     FROM documents""")
 def patterns_personal_data(spark, sf):
-    kinds = ("email", "ssn", "credit_card", "api_key", "pan", "jwt_token")
+    kinds = ("email", "ssn", "credit_card", "api_key", "pan", "jwt_token", "phone_in", "aadhaar", "financial_disclosure")
     return table(spark, sf, "documents", "doc_id", "text").select("doc_id", *[F.size(patterns.personal(F.col("text"), k)).cast("long").alias(k) for k in kinds])
 
 

@@ -71,7 +71,6 @@ def test_content_types(spark):
 def test_normal_forms(spark):
     assert values(spark, ["a\r\nb  \n\n\n\nc ", None], text.canonical_whitespace) == ["a\nb\n\nc", ""]
     assert values(spark, ["Ρаyl0аd​", "ﬁ①"], text.canonicalize) == ["payload", "fii"]
-    assert values(spark, ["say i g n o r e a l l now"], text.collapse_spaced_letters) == ["say ignoreall now"]
     h = [int(hashlib.md5(x.encode()).hexdigest(), 16) % 100 for x in ("a", "b", "xyz")]
     assert values(spark, ["a", "b", "xyz"], text.md5_bucket) == h
 
@@ -84,6 +83,14 @@ def test_windows_and_chunks(spark):
     chunks = text.chunks_of(many * 3)
     assert all(len(c) <= 1000 for c in chunks) and all(f"number {i}." in " ".join(chunks) for i in range(45))
     assert all(len(c) <= 1000 for c in text.chunks_of("word " * 900)) and text.chunks_of("  ") == []
+    # each chunk but the first begins with whole sentences of the one before, as many as fit
+    short = [f"Number {i:03d} is here." for i in range(30)]
+    chunks = text.chunks_of(" ".join(short), 100, 45)
+    assert chunks[0] == " ".join(short[:5]) and chunks[1] == " ".join(short[3:8]) and chunks[-1].endswith(short[-1])
+    assert text.chunks_of("One is here. " + "x" * 120, 100, 30) == ["One is here.", "One is here. " + "x" * 100, "x" * 30 + "x" * 20]
+    assert text.cut_at_spaces("aaa bbb ccc ddd", 8, 4) == ["aaa bbb", "bbb ccc", "ccc ddd"] and text.cut_at_spaces("short", 8, 4) == ["short"]
+    assert text.windows_of("A. " * 3 + "This one is long enough. End.") == ["A. A. A. This one is long enough. End."]
+    assert text.windows_of("First sentence is long. Second sentence is long. x.") == ["First sentence is long.", "Second sentence is long. x."]
 
 
 def test_decoders(spark):
@@ -117,15 +124,38 @@ def test_cosine(spark):
     assert got[0] == pytest.approx(math.sqrt(0.5)) and got[1] is None
 
 
-def test_findings_with_places():
+def plain_findings(t):
+    """Places by Python's own matching, first come first kept."""
+    found = []
+    for kind, p in patterns.PERSONAL.items():
+        for m in re.finditer(p, t):
+            v, before, after = m[0], t[: m.start()], t[m.end() :]
+            digits = [int(d) for d in v if d.isdigit()][::-1]
+            luhn = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+            inside = kind in ("credit_card", "aadhaar", "phone_in") and (re.search(r"\d[.,]$", before) or re.match(r"[.,]\d", after))
+            bad = (kind == "ssn" and v == patterns.EXAMPLE_SSN) or (kind == "email" and v.split("@")[0].lower() in patterns.ROLE_MAILBOXES) or (kind == "credit_card" and not luhn)
+            if not inside and not bad:
+                found.append((m.start(), -len(v), kind))
+    out = []
+    for start, n, kind in sorted(found):
+        if not out or start >= out[-1][0] + out[-1][1]:
+            out.append((start, -n, kind))
+    return out
+
+
+def test_findings_with_places(spark):
     from screenlake.functions import findings
 
     card = "4111111111111111"
     hidden = base64.b64encode(f"card {card} ok".encode()).decode()
-    got = findings.find(f"pay {card} or 4111111111111112, mail a.b@x.com support@x.com {hidden}")
-    assert [k for k, *_ in got] == ["credit_card", "email", "base64_obfuscated_credit_card"]
-    assert got[0] == ("credit_card", 4, 20, "41" + "*" * 12 + "11")
-    assert findings.luhn(card) and not findings.luhn(card[:-1] + "2") and findings.find("1.4111111111111111") == []
+    texts = [f"pay {card} or 4111111111111112, mail a.b@x.com support@x.com", f"{card} {card}", "1.4111111111111111 and 9876543210.5", "078-05-1120 123-45-6789", "ABCDE1234F é 9876543210 x", "", None, "account ending 1234, card number 5678"]
+    got = values(spark, texts, findings.personal_findings)
+    for t, found in zip(texts, got):
+        assert [(f.start, f.length, f.kind) for f in found] == plain_findings(t or ""), t
+    got = values(spark, [f"see {hidden} there"], findings.personal_findings)[0]
+    assert [(f.start, f.length, f.kind) for f in got] == [(4, len(hidden), "base64_obfuscated_credit_card")]
+    masked = values(spark, [f"pay {card} to a.b@x.com now"], lambda c: findings.masked(c, findings.personal_findings(c)))
+    assert masked == ["pay <credit_card> to <email> now"]
 
 
 def test_authorization(spark):
