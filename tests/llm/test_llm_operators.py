@@ -352,6 +352,20 @@ def test_pipeline(spark, tmp_path):
     pieces_ = corpus_pipeline.run(spark, str(tmp_path)).collect()
     kept = {r.doc_id for r in pieces_}
     assert kept == {i for i in range(80)} | {105, 106}
+    # every piece against the plain tokenizer over what brute force leaves of each text
+    from tokenizers import Tokenizer
+
+    plain, seen, left = Tokenizer.from_file(tokens.tokenizer_path()), set(), {}
+    for i, t in sorted((i, t) for i, t, *_ in data if i in kept):
+        b, gone = t.encode(), np.zeros(len(t.encode()), bool)
+        for p in range(len(b) - 99):
+            gone[p : p + 100] |= b[p : p + 100] in seen
+            seen.add(b[p : p + 100])
+        left[i] = np.array(plain.encode(bytes(x for x, g in zip(b, gone) if not g).decode(), add_special_tokens=False).ids + [1], "<u4")
+    assert len(left[106]) < len(plain.encode(data[-1][1]).ids)
+    assert sum(r.length for r in pieces_) == sum(map(len, left.values()))
+    for r in pieces_:
+        assert r.doc_tokens == len(left[r.doc_id]) and r.ids_crc32 == zlib.crc32(left[r.doc_id][r.start : r.start + r.length].tobytes())
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
@@ -424,3 +438,37 @@ def test_kneser_ney_against_dictionaries():
             for text in (samples["aa"][0], samples["bb"][1], "abc mnx é zzz", "a"):
                 got, _ = scorer.log_probs(language_id.letter_runs(text))
                 assert np.allclose(got[:, j], plain(text, model.base)), (order, la, text)
+
+
+LONG = " ".join(f"{w}{i % 97}" for i, w in enumerate(WORDS * 6_000))  # over a megabyte
+
+
+def test_very_long_texts(spark):
+    """A text of over a megabyte through every operator that takes texts, beside a short one and an empty one."""
+    from tokenizers import Tokenizer
+
+    assert len(LONG) > 1_500_000
+    df = spark.createDataFrame([(1, LONG), (2, "short"), (3, "")], "doc_id long, text string")
+    plain = Tokenizer.from_file(tokens.tokenizer_path())
+    ids = np.array(plain.encode(LONG, add_special_tokens=False).ids + [2], "<u4")
+    got = rows(token_files.token_round_trip(df, tokens.tokenizer_path(), 2))
+    assert (got[1].n_tokens, got[1].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+    pieces_ = sorted(packing.pack_documents(df, tokens.tokenizer_path(), 2048, 2).collect(), key=lambda r: (r.sequence_id, r.offset))
+    assert sum(r.length for r in pieces_ if r.doc_id == 1) == len(ids) and all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in pieces_ if r.doc_id == 1)
+    got = rows(exact_dedup.exact_dedup(df))
+    assert got[1].text_sha256 == hashlib.sha256(LONG.encode()).hexdigest() and got[1].group_size == 1
+    got = rows(pieces.nbest(df, tokens.tokenizer_path("piece_bpe_32k.model"), 2))
+    assert got[1].round_trip and got[1].n_found == 2
+    pages = df.selectExpr("doc_id as page_id", "'http://x' as url", "text as html")
+    assert rows(warc.warc_round_trip(pages), "page_id")[1].payload_bytes == len(LONG.encode())
+
+
+def test_clashing_columns_and_ties(spark):
+    pages = spark.createDataFrame([(1, "http://a.example.org/x", "h", "r", 0)], "page_id long, url string, html string, `a.b` string, rule int")
+    rules = spark.createDataFrame([("a.example.org", "/x", "allow"), ("a.example.org", "/x", "block"), ("org", "/", "allow")], "host string, path string, verdict string")
+    got = url_filter.url_filter(pages, rules).first()
+    assert (got.rule, got.verdict) == ("a.example.org/x", "block")  # of equal rules the one that blocks
+    assert warc.warc_round_trip(pages).first().record_type == "response"
+    train = spark.createDataFrame([(i, "abc abd", la) for i, la in enumerate(["zz", "yy"] * 10)], "doc_id long, text string, lang string")
+    got = language_id.identify(spark.createDataFrame([(1, "abc", 0.5, "x")], "doc_id long, text string, SCORE double, `a.b` string"), train).first()
+    assert got.lang_pred == "yy" and got["a.b"] == "x" and got.score == pytest.approx(0.5)  # equal entropies: the first by name
