@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenlake.llm.exact_dedup import exact_dedup
@@ -42,10 +42,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(~F.col(f"{found}.rejected")).select(*columns_of(docs))
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """docs whose doc_id is among kept's; documents without an id stay."""
-    ids = stage(kept.select("doc_id").where("doc_id is not null").distinct(), "kept")
-    return docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").select(*columns_of(docs)).unionAll(docs.where("doc_id is null"))
+def _without(docs: DataFrame, found: DataFrame, goes: Column) -> DataFrame:
+    """docs less the ids of which every row of found goes; documents without an id stay.
+
+    Fewer documents go than stay, so their ids are what meets the texts: while they are few Spark sends them to the texts,
+    which then are not shuffled.
+    """
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.min(goes).alias("goes")).where("goes").select("doc_id")
+    return docs.join(stage(ids, "dropped"), "doc_id", "left_anti").select(*columns_of(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +58,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts are equal to each other, so one of them stays. Ties of id stay together.
     """
     ship(spark)
-    return _only(docs, exact_dedup(docs.select("doc_id", "text")).where("kept"))
+    return _without(docs, exact_dedup(docs.select("doc_id", "text")), ~F.col("kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +67,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no shingles, link with nothing and stay. Very long texts count whole.
     """
     ship(spark)
-    return _only(docs, ngram_join(docs.select("doc_id", "text"), WORDS, PERCENT).where("component_id = doc_id"))
+    return _without(docs, ngram_join(docs.select("doc_id", "text"), WORDS, PERCENT), F.col("component_id") != F.col("doc_id"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
