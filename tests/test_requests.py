@@ -269,3 +269,36 @@ def test_prose(spark):
     long = "word " * 800
     got = values(spark, [long, "short"], prose.document_segments)
     assert all(len(s) <= 1600 for s in got[0]) and got[0][0] == long[: len(got[0][0])] and got[1] == ["short"] and got[0][-1].endswith("word ")
+
+
+def test_lineage(spark):
+    from screenlake.operators import lineage
+
+    outputs = [
+        (1, 1, "bank", json.dumps({"iban": "DE89 3704 0044 0532 0130 00", "api_key": "9182", "notes": "call 5551"}), True, False),
+        (1, 2, "page", json.dumps({"text": "Dora lives here. Her address is dora@x.org, the old one is d2@x.org and more words"}), False, True),
+        (1, 3, "page", "your login code is 445566 for mallory@evil.org", False, False),
+        (2, 1, "page", None, False, False),
+    ]
+    known = lineage.recorded(spark.createDataFrame(outputs, "session int, seq int, tool string, output string, trusted boolean, named boolean")).cache()
+    got = {(r.seq, r.field): (r.tier, r.structural) for r in known.collect()}
+    assert got == {(1, "iban"): ("T1", True), (1, "api_key"): ("T1", True), (1, "notes"): ("T3", False), (2, "text"): ("T2", False), (3, ""): ("T3", False)}
+    values_ = spark.createDataFrame([(1, v) for v in ("DE89370400440532013000", "dora@x.org", "mallory@evil.org", "Bob", "918", "nobody@x.org", "lives here")], "session int, value string")
+    said = spark.createDataFrame([(1, "Pay Bob, from Dora's page")], "session int, text string")
+    r = {x.value: (x.tier, x.fields) for x in lineage.resolved(values_, known, said).collect()}
+    assert r == {"DE89370400440532013000": ("T1", ["iban"]), "dora@x.org": ("T2", ["text"]), "mallory@evil.org": ("T3", [""]), "Bob": ("T0", ["turn"]), "918": ("T4", []), "nobody@x.org": ("T4", []), "lives here": ("T2", ["text"])}
+    anchors = spark.createDataFrame([(1, "Dora")], "session int, anchor string")
+    assert {x.value for x in lineage.anchored(values_, known, anchors).collect()} == {"dora@x.org", "lives here"}
+    assert {x.value: x.n for x in lineage.rivals(values_, known).collect()} == {"dora@x.org": 2}
+    assert {(x.value, x.category) for x in lineage.sensitive(known).collect()} == {("9182", "credential"), ("445566", "credential"), ("3704 0044 0532 0130", "credential")}
+    c = values(spark, ["the cheapest hotel", "cheapest or newest", "a hotel", "Best rated and top-rated"], lineage.criterion)
+    assert [x and (x.attribute, x.direction) for x in c] == [("price", "min"), None, None, ("rating", "max")]
+    lits = F.array(F.lit("read-write"), F.lit("DE 89-1."))
+    assert values(spark, ["rw", "r", "de891", "x", "w"], lambda t: lineage.matches_literal(lits, t)) == [True, True, True, False, False]
+    assert values(spark, ["External report.pdf", "internal", "a.b x"], lambda t: lineage.matches_pattern(F.lit("External*"), t)) == [True, False, False]
+    assert values(spark, ["a.b x", "axb x"], lambda t: lineage.matches_pattern(F.lit("a.b {name}"), t)) == [True, False]
+    p = spark.createDataFrame([({"q": "Blue House"}, "see the blue house."), ({"q": "ab"}, "ab")], "p map<string,string>, t string")
+    assert [x[0] for x in p.select(lineage.user_named(F.col("p"), F.col("t"))).collect()] == [True, False]
+    parts = spark.createDataFrame([(1, "Send", 1, ["a"]), (1, "send", 2, ["b", "a"]), (1, None, 1, None), (1, "x", 0, None)], "session int, tool string, calls int, literals array<string>")
+    assert [tuple(x) for x in lineage.contract(parts).collect()] == [(1, "send", 3, ["a", "b"])]
+    assert values(spark, ["reserve_hotel", "send"], lambda t: lineage.action_family(t, F.lit("WRITE"))) == ["COMMIT", "WRITE"]
