@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import axis, vectors
-from ..operators import evidence, mining, sessions, statistics
+from ..operators import evidence, mining, retrieval, sessions, statistics
 from .registry import query, table
 
 # A layer's warn and block anchors.
@@ -350,14 +350,4 @@ def conversation_drift(spark, sf):
 def retrieval_top_chunks(spark, sf):
     """The three nearest vectors of every query (ids divisible by 20): the stated queries go to the rows in blocks."""
     rows = table(spark, sf, "embeddings", "vec_id", "embedding")
-    return nearest(rows.where("vec_id % 20 = 0"), rows, 3).select("query_id", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))
-
-
-def nearest(queries, rows, k, block=256):
-    """Queries are packed in blocks of ``block`` vectors; every block meets every row once, and each side keeps k a task."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x"))
-    packed = q.groupBy(F.pmod(F.xxhash64("query_id"), F.ceil(F.lit(q.count()) / block)).alias("b")).agg(F.collect_list(F.struct("query_id", "x")).alias("qs"))
-    s = rows.crossJoin(packed).select("vec_id", "embedding", F.explode("qs").alias("q")).where(F.col("q.query_id") != F.col("vec_id"))
-    s = s.select("q.query_id", "vec_id", vectors.cosine(F.col("q.x"), F.col("embedding")).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return s.withColumn("rank", rank).where(F.col("rank") <= k)
+    return retrieval.nearest(rows.where("vec_id % 20 = 0"), rows, 3).select("query_id", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))

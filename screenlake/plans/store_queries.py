@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import gate, graph, mining, store
+from ..operators import gate, graph, mining, retrieval, store
 from ..sources import samples
 from .registry import query, table
 from .request_queries import _VALUES_SQL, traced_values
-from .score_queries import EV, events, nearest
+from .score_queries import EV, events
 
 KEY = b"store-signing-key"
 
@@ -65,7 +65,7 @@ def store_review(spark, sf):
 def store_diverse_retrieval(spark, sf):
     """Of the ten nearest chunks of every query three of different sources and clusters, and what becomes of them."""
     rows = table(spark, sf, "embeddings", "vec_id", "embedding")
-    ranked = nearest(rows.where("vec_id % 20 = 0"), rows, 10).join(table(spark, sf, "embeddings", "vec_id", "label"), "vec_id").withColumn("cluster", F.col("vec_id") % 50)
+    ranked = retrieval.nearest(rows.where("vec_id % 20 = 0"), rows, 10).join(table(spark, sf, "embeddings", "vec_id", "label"), "vec_id").withColumn("cluster", F.col("vec_id") % 50)
     d = store.diverse(ranked, "query_id", "rank", "label", "cluster", 3)
     return d.select("query_id", "vec_id", "k", store.usage(F.lit(True), F.lit(False), F.col("similarity")).alias("usage"))
 

@@ -302,3 +302,25 @@ def test_lineage(spark):
     parts = spark.createDataFrame([(1, "Send", 1, ["a"]), (1, "send", 2, ["b", "a"]), (1, None, 1, None), (1, "x", 0, None)], "session int, tool string, calls int, literals array<string>")
     assert [tuple(x) for x in lineage.contract(parts).collect()] == [(1, "send", 3, ["a", "b"])]
     assert values(spark, ["reserve_hotel", "send"], lambda t: lineage.action_family(t, F.lit("WRITE"))) == ["COMMIT", "WRITE"]
+
+
+def test_nearest_rows(spark, monkeypatch):
+    import numpy as np
+
+    from screenlake.operators import retrieval
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 5)).round(1)
+    x[7] = x[3]
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, None), (101, [0.0] * 5), (102, [1.0, 2.0]), (103, [float("nan")] * 5), (None, x[0].tolist())]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(retrieval, "ROWS", 9)
+    monkeypatch.setattr(retrieval, "QUERIES", 4)
+    got = {}
+    for r in retrieval.nearest(df.where("vec_id % 3 = 0"), df, 4).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 60, 3):
+        want = sorted((j for j in range(60) if j != q), key=lambda j: (-round(float(u[q] @ u[j]), 12), j))[:4]
+        assert [got[q][k] for k in range(1, 5)] == want
+    assert set(got) == set(range(0, 60, 3))
