@@ -2,7 +2,8 @@
 
 A byte-level BPE splits a text before merging, and no split ever joins a character that isn't white space to a space after
 it. So a text can be cut at every space that follows such a character, and the ids of the cuts, one after the other, are
-the ids of the text. Most cuts are words seen before, whose ids are looked up; new ones go to the library in one batch.
+the ids of the text. Most cuts are words seen before, whose ids are looked up; new ones go to the library many in a row, as
+one text, whose ids fall apart again where a token begins with a space.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: A space that must not be cut at: at the start, or after white space.
-_ODD = re.compile(r"(?:^|\s) ")
+#: A space that must not be cut at: after white space (or at the start).
+_ODD = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 _KEPT: dict[tuple, object] = {}
 
@@ -58,14 +61,33 @@ class Encoder:
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # its own memory of words only costs, beside this one
+        # tokens that begin with a space, as byte-level vocabularies spell it
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.vocab_size)])
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _words(self, words: list[str], row: int = 2_000) -> dict[str, bytes]:
+        """Each word's ids after a space. Words that end in white space go alone; the others in rows of ``row``, as a text in
+        which only a word's own space begins a token; a row that falls apart otherwise is encoded word by word."""
+        alone = [w for w in words if not w or w[-1].isspace()]
+        out = dict(zip(alone, self._ids([" " + w for w in alone])))
+        rest = [w for w in words if w and not w[-1].isspace()]
+        rows = [rest[a : a + row] for a in range(0, len(rest), row)]
+        for group, e in zip(rows, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in rows], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) != len(group) or at[0]:
+                out.update(zip(group, self._ids([" " + w for w in group])))
+                continue
+            raw, ends = ids.tobytes(), (4 * at).tolist()
+            out.update(zip(group, [raw[a:b] for a, b in zip(ends, [*ends[1:], len(raw)])]))
+        return out
+
     def _ids(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [(t.split(" ") if not _ODD.search(t) else _CUT.split(t)) for t in texts]
+        cut = [(t.split(" ") if t[:1] != " " and not _ODD.search(t) else _CUT.split(t)) for t in texts]
         known, old = self.known, self.old
         new = set().union(*[parts[1:] for parts in cut]).difference(known)
         if len(known) + len(new) > self.max_chunks:
@@ -73,7 +95,7 @@ class Encoder:
             new = set().union(*[parts[1:] for parts in cut])
         fresh = [w for w in new if w not in old]
         known.update((w, old[w]) for w in new if w in old)
-        ids = dict(zip(fresh, self._ids([" " + w for w in fresh])))
+        ids = self._words(fresh)
         known.update((w, v) for w, v in ids.items() if len(w) <= 48)
         first = self._ids([parts[0] for parts in cut])
         if any(len(w) > 48 for w in fresh):
