@@ -53,6 +53,23 @@ def _key(text: str) -> int:
     return int(_range_keys(_prefix_columns(np.array([[ord(c)] for c in text], np.uint64)), 0, len(text))[0])
 
 
+class Memory:
+    """Words by place: scores, gaps to the second best (infinite without one) and ids as bytes, in columns."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.scores, self.gaps, self.ids = np.empty(0), np.empty(0), []
+
+    def add(self, words: list[str], scores: np.ndarray, gaps: np.ndarray, ids: list[bytes]) -> None:
+        n, need = len(self.ids), len(self.ids) + len(words)
+        if need > len(self.scores):
+            room = np.empty(max(need, 2 * len(self.scores), 4_096) - n)
+            self.scores, self.gaps = np.concatenate([self.scores[:n], room]), np.concatenate([self.gaps[:n], room])
+        self.scores[n:need], self.gaps[n:need] = scores, gaps
+        self.ids += ids
+        self.place.update(zip(words, range(n, need)))
+
+
 class PieceLattice:
     """pieces: (piece, score, special) by id; byte pieces are named <0x00> to <0xFF>.
 
@@ -73,8 +90,7 @@ class PieceLattice:
         self.piece_ids, self.piece_scores = np.array([x[1] for x in spelled], np.int64), np.array([x[2] for x in spelled], np.float64)
         self.some = np.zeros(1 << 22, bool)  # which top bits any piece's hash has
         self.some[self.hashes >> np.uint64(42)] = True
-        self.known: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.known, self.old = Memory(), Memory()
         self.lists: dict[str, list] = {}
 
     def edges(self, word: str):
@@ -100,7 +116,7 @@ class PieceLattice:
         return best, came
 
     def learn(self, words: list[str]) -> None:
-        """Remember each word's (score, ids as bytes, gap to its second best or None), words of a length together."""
+        """Remember each word's score, ids and gap to its second best, words of a length together."""
         by: dict[int, list[str]] = {}
         for w in words:
             by.setdefault(len(w), []).append(w)
@@ -162,15 +178,13 @@ class PieceLattice:
         chosen = np.ascontiguousarray(chosen.T)
         counts, flat = (chosen != -2).sum(axis=1), chosen[chosen != -2].astype("<u4").tobytes()
         ends = 4 * np.cumsum(counts)
-        spelled = (chosen == -1).any(axis=1).tolist()
-        for k, (w, e, n, s, g) in enumerate(zip(group, ends.tolist(), counts.tolist(), total.tolist(), gap.tolist())):
-            ids = flat[e - 4 * n : e]
-            if spelled[k]:
-                out = []
-                for a in np.flatnonzero(chosen[k] != -2).tolist():
-                    out += [chosen[k, a]] if chosen[k, a] >= 0 else [self.bytes[c] for c in w[a].encode()]
-                ids = np.array(out, "<u4").tobytes()
-            self.known[w] = (s, ids, g if g < np.inf else None)
+        raw = [flat[x:y] for x, y in zip((ends - 4 * counts).tolist(), ends.tolist())]
+        for k in np.flatnonzero((chosen == -1).any(axis=1)).tolist():  # spelled by bytes in part
+            out = []
+            for a in np.flatnonzero(chosen[k] != -2).tolist():
+                out += [chosen[k, a]] if chosen[k, a] >= 0 else [self.bytes[c] for c in group[k][a].encode()]
+            raw[k] = np.array(out, "<u4").tobytes()
+        self.known.add(group, total, gap, raw)
 
     def word_list(self, word: str) -> list[tuple[float, tuple]]:
         """The n best of a word by backward A-star: (score, ids)."""
@@ -205,12 +219,15 @@ class PieceLattice:
 
     def prepare(self, texts: list[list[str]]) -> None:
         """Have all words of these texts in memory: two generations, the young one becoming the old one when it is full."""
-        new = set().union(*texts).difference(self.known)
-        if len(self.known) + len(new) > self.max_words and self.known:
-            self.old, self.known = self.known, {}
+        new = set().union(*texts).difference(self.known.place)
+        if len(self.known.ids) + len(new) > self.max_words and self.known.ids:
+            self.old, self.known = self.known, Memory()
             new = set().union(*texts)
-        self.known.update((w, self.old[w]) for w in new if w in self.old)
-        self.learn([w for w in new if w not in self.old])
+        place = self.old.place
+        again = [w for w in new if w in place]
+        at = np.array([place[w] for w in again], np.int64)
+        self.known.add(again, self.old.scores[at], self.old.gaps[at], [self.old.ids[k] for k in at.tolist()])
+        self.learn([w for w in new if w not in place])
 
     def encode(self, text: str) -> list[tuple[float, np.ndarray]]:
         words = self.words(text) if text else []
@@ -221,12 +238,15 @@ class PieceLattice:
         """The n best of a text from its words', all of them prepared."""
         if not words:
             return [(0.0, np.empty(0, "<u4"))]
-        found = [self.known[w] for w in words]
-        raw = [x[1] for x in found]
-        out = [(sum([x[0] for x in found]), np.frombuffer(b"".join(raw), "<u4"))]
-        # of the words in order of their second best's gap, the first n - 1 are all that the n best can change
-        open_at = heapq.nsmallest(self.n - 1, [(x[2], k) for k, x in enumerate(found) if x[2] is not None])
-        lists = [(k, [(s, np.array(ids, "<u4").tobytes()) for s, ids in self.word_list(words[k])]) for k in sorted(k for _, k in open_at)]
+        at = list(map(self.known.place.__getitem__, words))
+        raw, where = list(map(self.known.ids.__getitem__, at)), np.array(at)
+        out = [(float(self.known.scores[where].sum()), np.frombuffer(b"".join(raw), "<u4"))]
+        # of the words in order of their second best's gap (and place), the first n - 1 are all that the n best can change
+        gaps = self.known.gaps[where]
+        few = self.n - 1
+        near = np.flatnonzero(gaps <= np.partition(gaps, few - 1)[few - 1]) if 0 < few < len(gaps) else np.arange(len(gaps))
+        near = near[np.argsort(gaps[near], kind="stable")][:few]
+        lists = [(k, [(s, np.array(ids, "<u4").tobytes()) for s, ids in self.word_list(words[k])]) for k in sorted(near[gaps[near] < np.inf].tolist())]
         heap, seen = [(0.0, (0,) * len(lists))], set()
         while heap and lists and len(out) < self.n:
             lost, pick = heapq.heappop(heap)
