@@ -69,12 +69,12 @@ def certificates_dispersion(spark, sf):
 @query(f"""
     WITH {EV}, m AS (SELECT session, layer, greatest(0.0, 0.5 - 0.02 - avg(score) / 4) AS cap FROM ev GROUP BY session, layer),
     c AS (SELECT session, layer, cap, coalesce(sum(cap) OVER (PARTITION BY session ORDER BY layer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m)
-    SELECT session, layer, round(greatest(0.0, least(cap, 1.2 - before)), 6) AS allocated FROM c""")
+    SELECT session, layer, round(greatest(0.0, least(cap, 1.2 - before)) + 1e-9::DOUBLE, 6) AS allocated FROM c""")
 def certificates_water_filling(spark, sf):
     """A budget of 1.2 poured into the layers in order, each up to its room."""
     m = events(spark, sf).groupBy("session", "layer").agg(F.greatest(F.lit(0.0), 0.48 - F.avg("score") / 4).alias("cap"))
     before = F.coalesce(F.sum("cap").over(Window.partitionBy("session").orderBy("layer").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return m.select("session", "layer", F.round(F.greatest(F.lit(0.0), F.least(F.col("cap"), 1.2 - before)), 6).alias("allocated"))
+    return m.select("session", "layer", F.round(F.greatest(F.lit(0.0), F.least(F.col("cap"), 1.2 - before)) + 1e-9, 6).alias("allocated"))
 
 
 def _hmac_sql(key: bytes, message: str) -> str:

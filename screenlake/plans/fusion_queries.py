@@ -47,8 +47,8 @@ def _quantile_sql(x, knots, levels):
 @query(f"""
     WITH {EV}, t AS (SELECT event_id, score AS a, floor((1 - score) * (event_id % 10)) / 10 AS b FROM ev),
     u AS (SELECT event_id, a, b, ({_quantile_sql('a', KNOTS, LEVELS)} + {_quantile_sql('b', OTHER, LEVELS)}) / 2 AS u FROM t)
-    SELECT event_id, round(a * b, 6) AS agreement, CAST({_quantile_sql('b', OTHER, LEVELS)} AS DOUBLE) AS quantile, CAST(CASE WHEN event_id % 7 = 0 THEN a ELSE {_quantile_sql('u', LEVELS, KNOTS)} END AS DOUBLE) AS ensemble,
-      round(CASE WHEN a <= 0.6 THEN a / 0.6 * 0.5494 ELSE 0.5494 + (a - 0.6) / 0.4 * 0.4 END, 6) AS mapped FROM u""")
+    SELECT event_id, round(a * b + 1e-9::DOUBLE, 6) AS agreement, CAST({_quantile_sql('b', OTHER, LEVELS)} AS DOUBLE) AS quantile, CAST(CASE WHEN event_id % 7 = 0 THEN a ELSE {_quantile_sql('u', LEVELS, KNOTS)} END AS DOUBLE) AS ensemble,
+      round(CASE WHEN a <= 0.6 THEN a / 0.6 * 0.5494 ELSE 0.5494 + (a - 0.6) / 0.4 * 0.4 END + 1e-9::DOUBLE, 6) AS mapped FROM u""")
 def fusion_model_tier(spark, sf):
     """Two models' scores combined by product and by quantiles; every seventh row lacks the second model."""
     s = events(spark, sf).select("event_id", F.col("score").alias("a"), (F.floor((1 - F.col("score")) * (F.col("event_id") % 10)) / 10).alias("b"))
@@ -56,10 +56,10 @@ def fusion_model_tier(spark, sf):
     second = F.when(F.col("event_id") % 7 != 0, F.col("b"))
     return s.select(
         "event_id",
-        F.round(fusion.model_tier(F.col("a"), F.col("b"), "agreement"), 6).alias("agreement"),
+        F.round(fusion.model_tier(F.col("a"), F.col("b"), "agreement") + 1e-9, 6).alias("agreement"),
         fusion.to_quantile(F.col("b"), other, levels).alias("quantile"),
         fusion.model_tier(F.col("a"), second, "ensemble", knots, other, levels).alias("ensemble"),
-        F.round(fusion.onto_axis(F.col("a"), 0.6, 0.5494, 0.9494), 6).alias("mapped"),
+        F.round(fusion.onto_axis(F.col("a"), 0.6, 0.5494, 0.9494) + 1e-9, 6).alias("mapped")  # halves go up,
     )
 
 
@@ -84,17 +84,17 @@ def _term_sql(k):
 
 @query(f"""
     WITH {EV}, {_TIERS_SQL}, f AS (SELECT *, CASE WHEN rule > 0 THEN 0.92 ELSE greatest(0, semantic, model, judge) END AS fused, {' + '.join(map(_term_sql, LINES))} AS total FROM t)
-    SELECT event_id, round(fused, 6) AS fused, CASE WHEN fused > 0.75 THEN 'INJECTION' WHEN fused > 0.30 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS class,
+    SELECT event_id, round(fused + 1e-9::DOUBLE, 6) AS fused, CASE WHEN fused > 0.75 THEN 'INJECTION' WHEN fused > 0.30 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS class,
       array_to_string(list_filter(['rule', CASE WHEN semantic IS NOT NULL THEN 'semantic' END, CASE WHEN model IS NOT NULL THEN 'model' END, CASE WHEN judge IS NOT NULL THEN 'judge' END], lambda x: x IS NOT NULL), '+') AS ran,
       round(1 / (1 + exp(-greatest(-30.0, least(30.0, total)))), 6) AS probability,
-      round(CASE WHEN semantic IS NOT NULL AND model IS NULL AND judge IS NULL THEN -0.2 + greatest(-6.0, least(6.0, -2.0 + 4.0::DOUBLE * semantic + 0.2)) ELSE total END, 6) AS by_pattern FROM f""")
+      round(CASE WHEN semantic IS NOT NULL AND model IS NULL AND judge IS NULL THEN -0.2 + greatest(-6.0, least(6.0, -2.0 + 4.0::DOUBLE * semantic + 0.2)) ELSE total END + 1e-9::DOUBLE, 6) AS by_pattern FROM f""")
 def fusion_tiers(spark, sf):
     """Tiers of a prompt fused by their largest, by summed evidence and by a model of the pattern of tiers that ran."""
     t = _tiers(spark, sf)
     tiers = {k: F.col(k) for k in LINES}
     fused, total = fusion.max_fusion(*tiers.values()), fusion.evidence_sum(tiers, LINES, PRIOR)
     pattern = fusion.by_pattern(tiers, {("rule", "semantic"): (-0.2, {"semantic": LINES["semantic"]})}, total)
-    return t.select("event_id", F.round(fused, 6).alias("fused"), fusion.l1_class(fused).alias("class"), F.array_join(fusion.availability(tiers), "+").alias("ran"), F.round(fusion.unit(total), 6).alias("probability"), F.round(pattern, 6).alias("by_pattern"))
+    return t.select("event_id", F.round(fused + 1e-9, 6).alias("fused"), fusion.l1_class(fused).alias("class"), F.array_join(fusion.availability(tiers), "+").alias("ran"), F.round(fusion.unit(total), 6).alias("probability"), F.round(pattern + 1e-9, 6).alias("by_pattern"))
 
 
 _LAYERS = ("L1", "L2", "L3", "L4", "L5")

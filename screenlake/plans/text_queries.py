@@ -159,7 +159,7 @@ def patterns_injection_level(spark, sf):
     return table(spark, sf, "documents", "doc_id", "text").select("doc_id", patterns.injection_level(F.col("text")).alias("level"))
 
 
-def _count_sql(ps, flags):
+def count_sql(ps, flags):
     return " + ".join("CAST(regexp_matches(coalesce(text, ''), '" + (flags + p).replace("'", "''") + "') AS INTEGER)" for p in ps)
 
 
@@ -169,12 +169,12 @@ def patterns_addressee_cues(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", patterns.count_hits(t, patterns.STRONG_CUES).alias("strong"), patterns.count_hits(t, patterns.WEAK_CUES).alias("weak"))
 
 
-@query(f"SELECT page_id, ({_count_sql(patterns.DANGEROUS.values(), '(?i)').replace('text', 'html')}) / 4 AS danger FROM pages")
+@query(f"SELECT page_id, ({count_sql(patterns.DANGEROUS.values(), '(?i)').replace('text', 'html')}) / 4 AS danger FROM pages")
 def patterns_dangerous_code(spark, sf):
     return table(spark, sf, "pages", "page_id", "html").select("page_id", patterns.dangerous_code(F.col("html")).alias("danger"))
 
 
-@query(f"SELECT conv_id, turn, {_count_sql([p for p, _ in patterns.REASONING], '')} AS flags, {_count_sql(patterns.DISCLOSURE, '(?i)')} AS disclosures FROM (SELECT conv_id, turn, lower(text) AS text FROM conversations)")
+@query(f"SELECT conv_id, turn, {count_sql([p for p, _ in patterns.REASONING], '')} AS flags, {count_sql(patterns.DISCLOSURE, '(?i)')} AS disclosures FROM (SELECT conv_id, turn, lower(text) AS text FROM conversations)")
 def patterns_reasoning_and_disclosure(spark, sf):
     t = F.lower("text")
     return table(spark, sf, "conversations").select("conv_id", "turn", patterns.count_hits(t, [p for p, _ in patterns.REASONING], "").alias("flags"), patterns.count_hits(t, patterns.DISCLOSURE, "(?i)").alias("disclosures"))
