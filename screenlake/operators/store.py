@@ -19,8 +19,8 @@ def is_session_scoped(source: Column, scope: Column) -> Column:
 def admitted(chunks: DataFrame, held: DataFrame, size: int = MOST_BYTES, quota: int = QUOTA) -> DataFrame:
     """chunks (chunk, principal, seq, text) with verdict: too large, over the principal's quota, else admitted.
 
-    held (principal, n) says what each principal has in the store already. Only the next chunks up to the quota of a
-    principal are ranked: those that come first in seq.
+    held (principal, n) says what each principal has in the store already. A principal's chunks count in order of seq; large
+    ones take no place.
     """
     ok = F.octet_length(F.coalesce("text", F.lit(""))) <= size
     rank = F.sum(F.when(ok, 1).otherwise(0)).over(Window.partitionBy("principal").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))

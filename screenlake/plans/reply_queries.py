@@ -81,13 +81,11 @@ def replies_sensitive_values(spark, sf):
 def replies_tracked_leaks(spark, sf):
     """Replies that repeat an identifier that an earlier turn of the conversation showed; identifiers match as written.
 
-    A reply's own identifiers are looked up among the tracked ones: an equi-join on the folded value, not a comparison of
-    every value with every reply. Where one is part of a longer token of the reply, the token's own parts are looked up.
+    A conversation tracks its first MOST_TRACKED values, which go to each of its replies as one array.
     """
     r = planted_replies(spark, sf)
     ids = r.select("conv_id", "turn", F.explode(F.array_distinct(replies.identifiers(F.col("t")))).alias("value"))
     first = ids.groupBy("conv_id", "value").agg(F.min("turn").alias("first_turn"))
-    # a value occurs in a reply only if the reply holds the value's first three characters: buckets of the conversation
     gathered = first.groupBy("conv_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("first_turn", "value"))), 1, replies.MOST_TRACKED).alias("tracked"))
     seen = r.join(gathered, "conv_id").withColumn("low", F.lower("t"))
     found = F.filter("tracked", lambda x: (x["first_turn"] < F.col("turn")) & F.col("low").contains(F.lower(x["value"])))
