@@ -120,6 +120,7 @@ def _documents(df: DataFrame, words: int) -> DataFrame:
 
 def _prefixes(df: DataFrame, words: int, percent: int, heavy: np.ndarray) -> DataFrame:
     def run(batches):
+        release()
         for batch in batches:
             for at, texts in text_slices(batch, 1):
                 n, k1, k2, prefix, rare, bits = [], [], [], [], [], []
@@ -142,6 +143,7 @@ def _prefixes(df: DataFrame, words: int, percent: int, heavy: np.ndarray) -> Dat
 
 def _sets(df: DataFrame, words: int) -> DataFrame:
     def run(batches):
+        release()
         for batch in batches:
             for at, texts in text_slices(batch, 1):
                 sets = shingle_sets(texts, words)
@@ -320,6 +322,7 @@ def _in_cells(rows: DataFrame, keys: list[str], columns: list[str], of) -> DataF
     n, width = shuffle_partitions(rows.sparkSession), len(keys)
 
     def run(batches):
+        release()
         key, cell, out, waiting = None, [], [], 0
 
         def results():

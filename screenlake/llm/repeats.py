@@ -30,7 +30,7 @@ from .tokens import release
 
 #: Bytes of the strings whose hashes set triggers; a window has length - TRIGGER + 1 of them.
 TRIGGER = 24
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _PLACE = np.uint64((1 << 21) - 1)
 
 
@@ -159,7 +159,7 @@ def _parse(docs: DataFrame, length: int) -> DataFrame:
                 if len(k):
                     waiting.append((h, c, ids[a:b][k], versions[a:b][k], p, n))
                     n_waiting += len(k)
-                if n_waiting > 1_000_000:
+                if n_waiting > 400_000:
                     yield from settle()
                     waiting, n_waiting = [], 0
         if waiting:
@@ -174,6 +174,7 @@ def _dictionary(docs: DataFrame, length: int) -> DataFrame:
     names, kinds = ["trigger", "id", "version", "at", "bytes"], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
     def run(batches):
+        release()
         out: list[list] = [[], [], [], [], []]
         for batch in batches:
             ids, versions = batch.column(0).to_pylist(), batch.column(1).to_pylist()

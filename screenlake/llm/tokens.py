@@ -8,11 +8,14 @@ one text, whose ids fall apart again where a token begins with a space.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -20,6 +23,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _ODD = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 _KEPT: dict[tuple, object] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -37,8 +41,12 @@ def keep(key: tuple, make):
 
 
 def release() -> None:
-    """Forget what an earlier stage kept in this worker."""
+    """Forget what an earlier stage kept in this worker, and give free memory back to the system where that can be asked."""
     _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def encoder(path: str) -> "Encoder":
