@@ -240,9 +240,12 @@ def call_verdict(executes: Column, score: Column, warn: float = 0.80) -> Column:
 
 
 def one_decimal(score: Column, threshold: float) -> Column:
-    """A score's distance from its threshold on [-1, 1] in tenths, halves to even, as some guards export it."""
+    """A score's distance from its threshold on [-1, 1] in tenths, halves to even, as some guards export it.
+
+    The tenfold is rounded as the double it is: bround goes by the shortest decimals, to which 0.8500000000000001 is no half.
+    """
     far = F.when(score > threshold, (score - threshold) / (1 - threshold)).otherwise((score - threshold) / threshold)
-    return clamp(F.bround(far, 1), -1.0, 1.0)
+    return clamp(F.rint(far * 10) / 10, -1.0, 1.0)
 
 
 def exported(layer: Column, score: Column, thresholds: dict[str, float], verdict_only: tuple[str, ...]) -> Column:

@@ -34,6 +34,14 @@ def test_sub_threshold_reads_every_event(spark, tmp_path):
     assert got == {1: (False, 1), 2: (True, 2), 3: (True, 0)}
 
 
+def test_exported_scores_round_the_tenfold(spark, tmp_path):
+    # 0.51 past its threshold is 0.8500000000000001 of the way, whose tenfold is the half 8.5
+    rows = [(1, 1, "L2", 0.91), (2, 1, "L2", 0.9101), (3, 1, "L2", 0.06), (4, 1, "L1", 0.625), (5, 1, "L1", 0.675), (6, 1, "L3", 0.6), (7, 1, "L3", 0.5999), (8, 1, "L4", 0.9)]
+    rows = [(i, s, k, x + 1e-7) for i, s, k, x in rows]  # the query cuts after the fourth digit
+    got = {r.event_id: r.exported for r in run(spark, tmp_path, "fusion_exported_scores", events=events(rows))}
+    assert got == {1: 0.8, 2: 0.9, 3: -0.8, 4: 0.2, 5: 0.4, 6: 1.0, 7: 0.0}
+
+
 def held_patterns(sequences, share, most):
     """Brute force: the patterns of up to ``most`` steps that ceil(share * n) sequences hold."""
     def holds(p, q):
