@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation, evidence, statistics
 from .fusion_queries import wide
 from .registry import query
-from .score_queries import EV, events
+from .score_queries import EV, events, mean_score
 
 LAYERS = ("L1", "L2", "L3", "L4", "L5")
 _MEANS = ", ".join(f"avg(score) FILTER (WHERE layer = '{k}') AS {k}" for k in LAYERS)
@@ -111,7 +111,7 @@ def evaluation_novelty(spark, sf):
     WITH {EV}, {WIDE}, x AS (SELECT session, greatest({', '.join(f'coalesce({k}, 0)' for k in LAYERS)}) <= 0.45 AS below, {' + '.join(f'CAST(coalesce({k} >= .15, false) AS INT)' for k in LAYERS[:3])} AS carrying FROM w) SELECT session, below, carrying, below AND carrying >= 2 AS satisfied FROM x""")
 def evaluation_certificates(spark, sf):
     """Sessions whose mean scores stay under every threshold while two of three layers carry signal."""
-    w = wide(spark, sf, F.avg)
+    w = wide(spark, sf, mean_score)
     c = evaluation.certificate({k: F.col(k) for k in LAYERS}, 2, LAYERS[:3])
     return w.select("session", c["below"].alias("below"), c["carrying"].alias("carrying"), c["satisfied"].alias("satisfied"))
 

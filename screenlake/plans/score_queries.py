@@ -28,6 +28,12 @@ def events(spark, sf):
     return table(spark, sf, "events", "event_id", "user_id", "event_type", "value").select("event_id", F.col("user_id").alias("session"), layer.alias("layer"), score.alias("score"), F.when(F.col("user_id") % 3 == 0, 1).otherwise(0).alias("label"))
 
 
+def mean_score(score):
+    """Mean of scores as of events(), the same in any order of rows: ten-thousandths are added as whole numbers, so that a
+    mean that lies on a threshold is equal to it."""
+    return F.avg(F.rint(score * 10000)) / 10000
+
+
 def _rescale_sql(w, b):
     return f"CASE WHEN score <= 0 THEN 0 WHEN score <= {w} THEN score / {w} * 0.5 WHEN score <= {b} THEN 0.5 + (score - {w}) / ({b} - {w}) * 0.35 ELSE 0.85 + (score - {b}) END"
 

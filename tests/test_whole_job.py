@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import itertools
 import math
@@ -42,6 +43,14 @@ def test_exported_scores_round_the_tenfold(spark, tmp_path):
     assert got == {1: 0.8, 2: 0.9, 3: -0.8, 4: 0.2, 5: 0.4, 6: 1.0, 7: 0.0}
 
 
+def test_certificates_of_means_on_the_thresholds(spark, tmp_path):
+    # added as doubles, twenty times 0.15 falls short of 3 and thirteen times 0.45 is over 5.85
+    assert functools.reduce(float.__add__, [0.15] * 20) / 20 < 0.15 and functools.reduce(float.__add__, [0.45] * 13) / 13 > 0.45
+    rows = [(1, layer, 0.15) for layer in ("L1", "L2") for _ in range(20)] + [(2, layer, 0.45) for layer in ("L2", "L3", "L4") for _ in range(13)]
+    got = run(spark, tmp_path, "evaluation_certificates", events=events([(i, s, k, x + 1e-7) for i, (s, k, x) in enumerate(rows)]))
+    assert {r.session: (r.below, r.carrying, r.satisfied) for r in got} == {1: (True, 2, True), 2: (True, 2, True)}
+
+
 def held_patterns(sequences, share, most):
     """Brute force: the patterns of up to ``most`` steps that ceil(share * n) sequences hold."""
     def holds(p, q):
