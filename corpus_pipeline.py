@@ -27,6 +27,8 @@ WORDS, PERCENT = 5, 80
 #: Bytes of the shortest passage that is removed where it repeats.
 PASSAGE = 100
 WINDOW, END_ID = 2048, 1
+#: Words that a worker remembers in the first and the last stage: here workers share an executor with what all stages leave.
+REMEMBERED = 100_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     train = docs.where(~held_out()).select("doc_id", "text", "lang")
     found = free_name(docs, "language")
-    judged = docs.withColumn(found, language_column(train)(F.col("text")))
+    judged = docs.withColumn(found, language_column(train, max_words=REMEMBERED)(F.col("text")))
     return judged.where(~F.col(f"{found}.rejected")).select(*columns_of(docs))
 
 
@@ -83,7 +85,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of ids; a null or empty text is its end id alone, repeated rows are packed each."""
     ship(spark)
-    return pack_documents(docs.select("doc_id", "text"), tokenizer_path(), WINDOW, END_ID)
+    return pack_documents(docs.select("doc_id", "text"), tokenizer_path(), WINDOW, END_ID, max_chunks=REMEMBERED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from .kernels import mix
 from .staging import free_name, quoted
-from .tokens import keep, slices
+from .tokens import keep, runs_within, slices
 
 START, END = 2, 3
+#: Doubles in one array of symbols by languages, unless a single chunk between spaces has more.
+MOST_TERMS = 1_000_000
 _W = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 
 
@@ -139,13 +141,17 @@ class Scorer:
     def _add(self, chunks: list[str]) -> None:
         runs = [letter_runs(c) for c in chunks]
         rows = np.zeros((len(chunks), len(self.model.languages) + 1))
-        words = [w for r in runs for w in r]
-        if words:
+        # a few at a time: each step below makes arrays of [symbol, language]
+        sizes = [sum(map(len, r)) + len(r) for r in runs]
+        for a, b in runs_within(sizes, max(1, MOST_TERMS // rows.shape[1])):
+            words = [w for r in runs[a:b] for w in r]
+            if not words:
+                continue
             logs, word = self.log_probs(words)
-            chunk = np.repeat(np.arange(len(chunks)), [len(r) for r in runs])[word]
+            chunk = np.repeat(np.arange(b - a), [len(r) for r in runs[a:b]])[word]
             for j in range(logs.shape[1]):
-                rows[:, j] = np.bincount(chunk, weights=logs[:, j], minlength=len(chunks))
-            rows[:, -1] = np.bincount(chunk, minlength=len(chunks))
+                rows[a:b, j] = np.bincount(chunk, weights=logs[:, j], minlength=b - a)
+            rows[a:b, -1] = np.bincount(chunk, minlength=b - a)
         need = self.used + len(chunks)
         if need > len(self.sums):
             self.sums = np.concatenate([self.sums, np.zeros((max(need - len(self.sums), len(self.sums), 4096), rows.shape[1]))])
@@ -206,19 +212,19 @@ def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, do
     return out
 
 
-def language_column(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, docs_per_language: int = 400, most_bytes: int = 65_536, most_languages: int = 256):
+def language_column(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, docs_per_language: int = 400, most_bytes: int = 65_536, most_languages: int = 256, max_words: int = 250_000):
     """A function of a text column that gives struct<lang_pred: string, score: double, rejected: boolean>.
 
     train holds labelled rows; the models are fitted on a sample of about docs_per_language whole texts a language, none
     longer than most_bytes, of most_languages languages at most, so its size does not grow with the input. A null text or
     one without letters is ``und``, score 0, rejected. Ties go to the first language in order of name. Without labelled
-    rows every text is ``und``. Predictions use the text alone: only that column reaches Python; whole texts count.
+    rows every text is ``und``. max_words bounds what a worker remembers and changes no result. Predictions use the text alone: only that column reaches Python; whole texts count.
     """
     samples = training_sample(train, id_col, text_col, lang_col, docs_per_language, most_bytes, most_languages)
     model, name = train.sparkSession.sparkContext.broadcast(fit(samples, order)) if samples else None, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = keep(("scorer", name), lambda: Scorer(model.value)) if model else None
+        scorer = keep(("scorer", name), lambda: Scorer(model.value, max_words)) if model else None
         for column in batches:
             parts = []
             for at in range(0, len(column), 512):

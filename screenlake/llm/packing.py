@@ -16,19 +16,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import stage
-from .tokens import encoder, text_slices
+from .tokens import MOST_CHUNKS, encoder, text_slices
 
 ENCODED = "id long, part int, local long, n long, ids binary"
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def encode_in_place(df: DataFrame, tokenizer: str, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
+def encode_in_place(df: DataFrame, tokenizer: str, end_id: int | None, id_col: str, text_col: str, max_chunks: int = MOST_CHUNKS) -> DataFrame:
     """(id, part, local, n, ids): staged ids, and each document's start among its partition's ids."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part, local = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, local = encoder(tokenizer, max_chunks), TaskContext.get().partitionId(), 0
         narrow = "<u2" if max(enc.vocab_size, (end_id or 0) + 1) <= 65_536 else "<u4"
         tail = np.array([] if end_id is None else [end_id], narrow).tobytes()
         for batch in batches:
@@ -83,13 +83,14 @@ def cut(placed: DataFrame, window: int, with_ids: bool = False) -> DataFrame:
     return placed.select("id", "place", "n", "ids").mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
-def pack_documents(df: DataFrame, tokenizer: str, window: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, window: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, max_chunks: int = MOST_CHUNKS) -> DataFrame:
     """Pieces of all documents in windows of ``window`` ids; only the last window is not full.
 
     Null and empty texts are their end id alone (no piece if there is none). Repeated rows are packed each. An empty table
-    gives no pieces. A very long text becomes many pieces and is encoded whole.
+    gives no pieces. A very long text becomes many pieces and is encoded whole. max_chunks bounds what a worker remembers and
+    changes no result.
     """
-    pieces = cut(with_places(encode_in_place(df, tokenizer, end_id, id_col, text_col)), window, with_ids)
+    pieces = cut(with_places(encode_in_place(df, tokenizer, end_id, id_col, text_col, max_chunks)), window, with_ids)
     return pieces.withColumnRenamed("id", id_col)
 
 

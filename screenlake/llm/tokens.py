@@ -23,6 +23,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _ODD = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 _KEPT: dict[tuple, object] = {}
+#: Chunks in each of the two generations of an encoder's memory.
+MOST_CHUNKS = 400_000
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
@@ -35,7 +37,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def keep(key: tuple, make):
     """make(), kept in this worker from task to task until another key is asked for: one memory a worker at a time."""
     if key not in _KEPT:
-        _KEPT.clear()
+        release()
         _KEPT[key] = make()
     return _KEPT[key]
 
@@ -49,9 +51,9 @@ def release() -> None:
         _TRIM(0)
 
 
-def encoder(path: str) -> "Encoder":
-    """One encoder a worker and path, kept from task to task."""
-    return keep(("encoder", path), lambda: Encoder(path))
+def encoder(path: str, max_chunks: int = MOST_CHUNKS) -> "Encoder":
+    """One encoder a worker, path and size of memory, kept from task to task."""
+    return keep(("encoder", path, max_chunks), lambda: Encoder(path, max_chunks))
 
 
 class Encoder:
@@ -62,7 +64,7 @@ class Encoder:
     moves up, so its size is fixed and frequent chunks stay.
     """
 
-    def __init__(self, path: str, max_chunks: int = 400_000):
+    def __init__(self, path: str, max_chunks: int = MOST_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_chunks = Tokenizer.from_file(path), max_chunks
@@ -113,17 +115,21 @@ class Encoder:
         return [a + b"".join(map(get, parts[1:])) for a, parts in zip(first, cut)]
 
 
-def slices(texts: list, most: int = 1_000_000):
-    """(from, to) of runs of texts with at most so many characters together, one text at least."""
+def runs_within(sizes: list, most: int):
+    """(from, to) of runs whose sizes add up to at most so much, one at least."""
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
+    for i, n in enumerate(sizes):
         if i > start and size + n > most:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def slices(texts: list, most: int = 1_000_000):
+    """(from, to) of runs of texts with at most so many characters together, one text at least."""
+    return runs_within([len(t) if t else 0 for t in texts], most)
 
 
 def text_slices(batch, column: int, most_rows: int = 512):

@@ -10,10 +10,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SENT: set[str] = set()
+#: Bytes of rows that go to a Python worker at once, where the session does not say.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Once an application: a zip of the package through Spark's own file distribution."""
+    """Once an application: a zip of the package through Spark's own file distribution; and batches of bounded bytes."""
+    if spark.conf.get(BATCH, "1") == "1":
+        spark.conf.set(BATCH, BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _SENT:
         return

@@ -6,6 +6,7 @@ import io
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -173,3 +174,17 @@ def test_kneser_ney_probabilities_sum_to_one():
             logs, _ = scorer.log_probs([before + "z"])
             total += np.exp(logs[len(before), 0])
             assert total == pytest.approx(1.0, abs=1e-9)
+
+
+def test_scorer_makes_small_arrays(monkeypatch):
+    texts = {f"l{k}": [f"some plain words of language {k} " * 3, f"more of {k}"] for k in range(20)}
+    model = language_id.fit(texts)
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(60_000))
+    tracemalloc.start()
+    found = language_id.Scorer(model).predict([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # an array of all symbols by languages has 77 MB, and several are needed
+    monkeypatch.setattr(language_id, "MOST_TERMS", 10**12)
+    assert language_id.Scorer(model).predict([text]) == found

@@ -10,9 +10,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from screenlake.llm import embedding_dedup, exact_dedup, language_id, ngram_join, packing, pieces, repeats, token_files, tokens, url_filter, warc
+from screenlake.shipping import ship
 
 RNG = random.Random(11)
 WORDS = ["".join(RNG.choices("abcdefgh", k=RNG.randint(2, 7))) for _ in range(60)]
@@ -472,3 +474,14 @@ def test_clashing_columns_and_ties(spark):
     train = spark.createDataFrame([(i, "abc abd", la) for i, la in enumerate(["zz", "yy"] * 10)], "doc_id long, text string, lang string")
     got = language_id.identify(spark.createDataFrame([(1, "abc", 0.5, "x")], "doc_id long, text string, SCORE double, `a.b` string"), train).first()
     assert got.lang_pred == "yy" and got["a.b"] == "x" and got.score == pytest.approx(0.5)  # equal entropies: the first by name
+
+
+def test_batches_to_workers_have_bounded_bytes(spark):
+    ship(spark)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('x', 10000) AS text").mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in rows) == 3000 and max(r["size"] for r in rows) < 8_000_000
