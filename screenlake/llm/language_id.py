@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,15 @@ from pyspark.sql import functions as F
 
 from .kernels import mix
 from .staging import free_name, quoted
-from .tokens import keep, runs_within, slices
+from .tokens import keep, release, runs_within, slices
 
 START, END = 2, 3
 #: Doubles in one array of symbols by languages, unless a single chunk between spaces has more.
 MOST_TERMS = 1_000_000
+#: Symbols of words whose n-grams are made at once when models are fitted, unless a single word has more.
+MOST_SYMBOLS = 1 << 16
+#: Characters of texts that calibrate at once, and words remembered meanwhile.
+CALIBRATED, CALIBRATED_WORDS = 1 << 17, 20_000
 _W = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 
 
@@ -59,6 +64,41 @@ class Model:
         self.base, self.limit, self.slack, self.sharpness = 1.0, math.inf, 0.0, 8.0
 
 
+def _table(grams: np.ndarray, contexts: np.ndarray, shorter: np.ndarray, begins: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct n-grams, each with its context, the n-gram without its first symbol, whether a word begins with it, and its number."""
+    g, index, back = np.unique(grams, return_index=True, return_inverse=True)
+    return g, contexts[index], shorter[index], begins[index], np.bincount(back, weights=number, minlength=len(g)).astype(np.int64)
+
+
+def counted_grams(texts: list[str], order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per order: the n-grams of the texts' words, their contexts, and the numbers that Kneser-Ney smoothing counts.
+
+    Every distinct word is taken once, with the number of times that it occurs, and MOST_SYMBOLS symbols at a time, so that
+    beside the texts' words only tables of distinct n-grams are held.
+    """
+    words: Counter[str] = Counter()
+    for t in texts:
+        words.update(letter_runs(t))
+    each, times = list(words), np.fromiter(words.values(), np.int64, len(words))
+    none = np.empty(0, np.uint64)
+    tables = [(none, none, none, np.empty(0, bool), np.empty(0, np.int64))] * order
+    for a, b in runs_within([len(w) + 2 for w in each], MOST_SYMBOLS):
+        grams, contexts, at, word = grams_of(each[a:b], order)
+        number = times[a:b][word]
+        for k in range(order):  # k + 1 symbols
+            whole = at >= k  # the n-gram lies inside the word
+            part = _table(grams[k][whole], contexts[k][whole], grams[max(0, k - 1)][whole], at[whole] == k, number[whole])
+            tables[k] = _table(*[np.concatenate(x) for x in zip(tables[k], part)])
+    out = []
+    for k, (g, c, _, begins, number) in enumerate(tables):
+        if k + 1 < order:
+            # lower orders: one for each distinct symbol before; an n-gram that begins a word counts as it occurs
+            before = np.bincount(np.searchsorted(g, tables[k + 1][2]), minlength=len(g))
+            number = np.where(begins, number, before)
+        out.append((g[number > 0], c[number > 0], number[number > 0]))
+    return out
+
+
 def fit(samples: dict[str, list[str]], order: int = 4, discount: float = 0.75) -> Model:
     """samples: texts by language, counted whole; a fifth of a language's texts (at least one, if it has two) calibrates."""
     languages = sorted(samples)
@@ -68,28 +108,10 @@ def fit(samples: dict[str, list[str]], order: int = 4, discount: float = 0.75) -
     per: list[list] = [[] for _ in range(order)]
     symbols: set = set()
     for la in languages:
-        words = [w for t in counted[la] for w in letter_runs(t)]
-        if not words:
-            for k in range(order):
-                per[k].append((np.empty(0, np.uint64),) * 3)
-            continue
-        grams, contexts, at, _ = grams_of(words, order)
-        symbols.update(np.unique(grams[0]).tolist())
-        counts = None
-        for k in range(order - 1, -1, -1):  # k + 1 symbols
-            whole = at >= k  # the n-gram lies inside the word
-            g, c = grams[k][whole], contexts[k][whole]
-            if counts is None:
-                use = np.ones(len(g), bool)  # highest order: occurrences
-            else:
-                # lower orders: one for each distinct symbol before; an n-gram that begins a word counts as it occurs
-                longer, inner = grams[k + 1][whole], at[whole] > k
-                _, once = np.unique(longer[inner], return_index=True)
-                use = ~inner
-                use[np.flatnonzero(inner)[once]] = True
-            ug, index, number = np.unique(g[use], return_index=True, return_counts=True)
-            per[k].append((ug, c[use][index], number))
-            counts = number
+        found = counted_grams(counted[la], order)
+        symbols.update(found[0][0].tolist())
+        for k in range(order):
+            per[k].append(found[k])
     for k in range(order):
         all_grams = np.unique(np.concatenate([x[0] for x in per[k]]))
         all_contexts = np.unique(np.concatenate([x[1] for x in per[k]]))
@@ -103,8 +125,8 @@ def fit(samples: dict[str, list[str]], order: int = 4, discount: float = 0.75) -
                 weights[np.searchsorted(all_contexts, uc), j] = discount * kinds / total
         model.tables.append((all_grams, terms, all_contexts, weights))
     model.base = 1.0 / (len(symbols) + 1)
-    scorer = Scorer(model)
-    got = [(s, n) for la in languages for s, n in zip(*scorer.best(left_out[la])) if n]
+    scorer = Scorer(model, CALIBRATED_WORDS)
+    got = [(s, n) for la in languages for a, b in slices(left_out[la], CALIBRATED) for s, n in zip(*scorer.best(left_out[la][a:b])) if n]
     if got:
         # a long text may exceed the worst long one by a tenth; a short one by more, as its mean is less certain
         sure = [s for s, n in got if n >= 200] or [s for s, _ in got]
@@ -222,6 +244,8 @@ def language_column(train: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     samples = training_sample(train, id_col, text_col, lang_col, docs_per_language, most_bytes, most_languages)
     model, name = train.sparkSession.sparkContext.broadcast(fit(samples, order)) if samples else None, uuid.uuid4().hex
+    samples.clear()
+    release()  # the driver keeps what fitting took, else
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = keep(("scorer", name), lambda: Scorer(model.value, max_words)) if model else None

@@ -176,6 +176,25 @@ def test_kneser_ney_probabilities_sum_to_one():
             assert total == pytest.approx(1.0, abs=1e-9)
 
 
+def test_fit_holds_distinct_grams_only(monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijé", k=rng.randrange(1, 9))) for _ in range(2_000)]
+    texts = {la: [" ".join(rng.choices(part, k=2_000)) for _ in range(100)] for la, part in (("x", words), ("y", words[:900]))}
+    tracemalloc.start()
+    model = language_id.fit(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # one array of a language's symbols has 7 MB, and their n-grams took a dozen at once
+    for most in (1, 300, 10**12):  # a word at once, many parts that share n-grams, one part
+        monkeypatch.setattr(language_id, "MOST_SYMBOLS", most)
+        other = language_id.fit({la: t[:6] for la, t in texts.items()})
+        if most == 1:
+            first = other
+        assert all(np.array_equal(a, b) for x, y in zip(first.tables, other.tables) for a, b in zip(x, y))
+        assert (first.base, first.limit, first.slack) == (other.base, other.limit, other.slack)
+    assert len(model.tables[0][0]) == 12  # eleven letters and the end mark
+
+
 def test_scorer_makes_small_arrays(monkeypatch):
     texts = {f"l{k}": [f"some plain words of language {k} " * 3, f"more of {k}"] for k in range(20)}
     model = language_id.fit(texts)
