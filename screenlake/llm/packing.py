@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import stage
-from .tokens import MOST_CHUNKS, encoder, text_slices
+from .tokens import MOST_CHUNKS, column_slices, encoder
 
 ENCODED = "id long, part int, local long, n long, ids binary"
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -28,19 +28,17 @@ def encode_in_place(df: DataFrame, tokenizer: str, end_id: int | None, id_col: s
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part, local = encoder(tokenizer, max_chunks), TaskContext.get().partitionId(), 0
-        narrow = "<u2" if max(enc.vocab_size, (end_id or 0) + 1) <= 65_536 else "<u4"
-        tail = np.array([] if end_id is None else [end_id], narrow).tobytes()
+        enc, part, local = encoder(tokenizer, max_chunks, end_id), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at, texts in text_slices(batch, 1):
-                ids = [np.frombuffer(x, "<u4").astype(narrow).tobytes() + tail for x in enc.encode(texts)]
-                n = np.array([len(x) for x in ids], np.int64) // int(narrow[2])
-                ends = local + np.cumsum(n)
+            for at, texts in column_slices(batch.column(1)):
+                ids, starts = enc.encode_column(texts)
+                n, places = np.diff(starts), pa.py_buffer(starts * ids.itemsize)
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, places, pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), pa.array(n), pa.array(ids, pa.binary())],
+                    [batch.column(0).slice(at, len(n)), pa.array(np.full(len(n), part, np.int32)), pa.array(local + starts[:-1]), pa.array(n), raw],
                     names=["id", "part", "local", "n", "ids"],
                 )
-                local = int(ends[-1])
+                local += int(starts[-1])
 
     return stage(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, ENCODED), "encoded")
 

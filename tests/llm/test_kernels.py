@@ -74,6 +74,35 @@ def test_encoder_equals_the_library():
             assert np.frombuffer(raw, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_of_columns_equals_the_library():
+    """Nulls, end ids of either width, white space of every kind before letters, and the encoder's own break in a text."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, rng = tokens.tokenizer_path(), random.Random(5)
+    plain = Tokenizer.from_file(path)
+    parts = ["ab", "C", "é", "ß", "ŋ", "²", "٣", " ", " ", "  ", "\n", "\n", ".", ",", ";.", "?", "'s", "'", "1", "\t", "\r", "\x1f", "\xa0", "\u3000", "\x01", "\x00", "🙂", "<|endoftext|>"]
+    texts = [None if rng.random() < 0.02 else "".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(3000)]
+    for end, most in ((None, 50), (1, 400_000), (70_000, 200)):
+        mine = tokens.Encoder(path, most, end)
+        for i in range(0, len(texts), 211):
+            ids, starts = mine.encode_column(pa.array(texts)[i : i + 211])
+            got = [ids[a:b].tolist() for a, b in zip(starts, starts[1:])]
+            assert got == [plain.encode(t or "", add_special_tokens=False).ids + ([] if end is None else [end]) for t in texts[i : i + 211]]
+    ids, starts = mine.encode_column(pa.array([], pa.string()))
+    assert len(ids) == 0 and starts.tolist() == [0]
+
+
+def test_encoder_asks_the_library_once_a_word():
+    """Words that differ in the mark or the line that follows go to the library once."""
+    mine, asked = tokens.Encoder(tokens.tokenizer_path()), []
+    words = mine._words
+    mine._words = lambda new, *more: asked.extend(new) or words(new, *more)
+    names = [f"{a}{b}{c}o" for a in "bdfg" for b in "aeiou" for c in "klmn"]
+    mine.encode(["; ".join(names), " ".join(f"{x}{m}\n{y}" for m in (".", ",", "!", "?", "") for x, y in zip(names, names[7:]))])
+    assert len(asked) <= 2 * len(names) + 90  # after a space or a line, and "word\\n"
+
+
 def test_warc_reader_frames_and_verifies():
     rng = random.Random(1)
     payloads = [bytes(rng.choices(b"abc <>", k=n)) for n in (0, 1, 70_000, 200_000, 10)]
