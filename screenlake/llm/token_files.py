@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import made_folder, shuffle_partitions, stage
-from .tokens import encoder, text_slices
+from .tokens import column_slices, encoder
 
 MAGIC = b"SLTOKEN1"
 BLOCK_IDS = 65_536
@@ -169,16 +169,17 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int |
     def write(batches):
         from pyspark import TaskContext
 
-        enc, tail = encoder(tokenizer), np.array([] if end_id is None else [end_id], "<u4")
+        enc = encoder(tokenizer, end_id=end_id)
         path, out, to = f"{folder}/{uuid.uuid4().hex}.tok", None, None
         for batch in batches:
             ids = batch.column(0)
-            for at, texts in text_slices(batch, 1):
+            for at, texts in column_slices(batch.column(1)):
                 if to is None:
                     out = _open(path, True)
                     to = TokenWriter(out, bits_for(max(enc.vocab_size, (end_id or 0) + 1)))
-                for doc_id, raw in zip(ids.slice(at, len(texts)).to_pylist(), enc.encode(texts)):
-                    to.add(doc_id, np.concatenate([np.frombuffer(raw, "<u4"), tail]))
+                row, starts = enc.encode_column(texts)
+                for doc_id, a, b in zip(ids.slice(at, len(texts)).to_pylist(), starts.tolist(), starts[1:].tolist()):
+                    to.add(doc_id, row[a:b])
         if to is not None:
             to.close()
             out.close()
